@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup
+from . import decontaminate, embeddings, neardup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,7 +22,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
+    "op3_embeddings": op3_embeddings,
 }
