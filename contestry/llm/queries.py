@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, neardup
+from . import bpe, decontaminate, embeddings, neardup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,8 +26,25 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def _vocabulary() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), *_vocabulary())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
     "op3_embeddings": op3_embeddings,
+    "op4_bpe": op4_bpe,
+    "op6_toxicity": op6_toxicity,
 }
