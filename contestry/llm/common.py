@@ -34,9 +34,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it: a lost executor costs no recomputation.
+
+    A written table rather than ``checkpoint()``: it is compressed, its size is known to the planner, and it
+    starts a plan without the constraints of the old one, which multiply over the rounds of a loop.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -194,6 +194,10 @@ def _across(registers: int, threshold: float):
     return run
 
 
+def named(found: DataFrame, key: str, value: str) -> DataFrame:
+    return found.select(F.col("id").alias(key), F.col("component").alias(value))
+
+
 class _Confirmer:
     """Checks candidate pairs of class representatives against registers and then full texts."""
 
@@ -255,8 +259,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     more = dealt.groupBy("band", "i", "j").applyInArrow(_across(registers, threshold), "a long, b long")
     more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = links.union(confirm(more, estimated=True))
-        found = cut(components(links))
+        # Components merge over the graph of components, which is far smaller than that of documents.
+        over = confirm(more, estimated=True).join(named(found, "a", "ca"), "a", "left").join(named(found, "b", "cb"), "b", "left")
+        merged = cut(components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
+        whole = reps.select(F.col("rep").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("was"))
+        found = cut(whole.join(named(merged, "was", "now"), "was", "left").select("id", F.coalesce("now", "was").alias("component")))
     classes = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_hash", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(classes, "set_hash", "left").select(
