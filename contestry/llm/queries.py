@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, neardup, toxicity, urlfilter, warc
+from . import bpe, decontaminate, embeddings, neardup, suffixes, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,12 +50,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
     "op3_embeddings": op3_embeddings,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
+    "op8_suffixes": op8_suffixes,
     "op9_urlfilter": op9_urlfilter,
     "op10_warc": op10_warc,
 }
