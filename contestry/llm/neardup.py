@@ -30,6 +30,8 @@ from .components import components
 REGISTERS, BAND, MANTISSA = 160, 5, 10
 #: Estimates lower than the threshold by more than so many standard errors are dropped.
 ERRORS = 3.5
+#: Smallest shingle hashes kept beside the registers; a set of no more is kept whole.
+LOW = 512
 #: Members of a band that are compared across components at once.
 BLOCK = 1024
 
@@ -110,19 +112,28 @@ def _sketches(size: int, registers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, orders = _Hashes(), _orders(registers)
         for batch in batches:
-            n, sets, regs = [], [], []
+            n, sets, regs, low = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(words_of(text), size, cache)
                 n.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 regs.append(sketch(h, registers, orders).tobytes() if len(h) else None)
+                low.append((h[:LOW] >> np.uint64(32)).astype(np.uint32).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(regs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_hash", "registers"])
+                batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(regs, pa.binary()),
+                pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "registers", "low"])
 
     return run
 
 
+def _band_keys(regs: np.ndarray, band: int) -> np.ndarray:
+    n = regs.shape[1] // band
+    key = np.broadcast_to(np.arange(n, dtype=np.uint64), (len(regs), n)).copy()
+    for k in range(band):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, k::band][:, :n].astype(np.uint64))
+    return key
+
+
 def _bands(registers: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +141,9 @@ def _bands(registers: int, band: int):
             if not len(ids):
                 continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), registers)
-            n = registers // band
-            key = np.broadcast_to(np.arange(n, dtype=np.uint64), (len(ids), n)).copy()
-            for k in range(band):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, k::band][:, :n].astype(np.uint64))
+            key = _band_keys(regs, band)
             yield pa.RecordBatch.from_arrays([
-                pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, n))], names=["band", "rep"])
+                pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, key.shape[1]))], names=["band", "rep"])
 
     return run
 
@@ -173,19 +181,55 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _across(registers: int, threshold: float):
-    """Pairs of one block pair of a band that lie in different components and whose estimate is high enough."""
+class _LowHashes:
+    """Jaccard similarity by the smallest hashes: exact where both sets are whole, else with its standard error."""
+
+    def __init__(self, packed: list[bytes], n: np.ndarray):
+        self.sets = [np.frombuffer(x, np.uint32) for x in packed]
+        self.size = np.array([len(x) for x in self.sets])
+        self.values = np.concatenate(self.sets)
+        self.start = np.cumsum(self.size) - self.size
+        _, self.number = np.unique(self.values, return_inverse=True)
+        self.mark = np.zeros(len(self.values) and self.number.max() + 1, bool)
+        # All hashes up to here are known; a whole set knows them all.
+        self.known = np.where(n <= LOW, 2**32, [int(x[-1]) for x in self.sets])
+
+    def possible(self, i: int, other: np.ndarray, threshold: float) -> np.ndarray:
+        own = self.number[self.start[i]:self.start[i] + self.size[i]]
+        self.mark[own] = True
+        cells = np.concatenate([np.arange(self.start[k], self.start[k] + self.size[k]) for k in other])
+        begin = np.cumsum(self.size[other]) - self.size[other]
+        upto = np.minimum(self.known[i], self.known[other])
+        limit = np.repeat(upto, self.size[other])
+        both = np.add.reduceat((self.mark[self.number[cells]] & (self.values[cells] <= limit)).astype(np.int64), begin)
+        theirs = np.add.reduceat((self.values[cells] <= limit).astype(np.int64), begin)
+        self.mark[own] = False
+        union = np.searchsorted(self.sets[i], upto, "right") + theirs - both
+        error = np.where(upto == 2**32, 1e-9, ERRORS * np.sqrt(threshold * (1 - threshold) / union))
+        return both / union >= threshold - error
+
+
+def _across(registers: int, band: int, threshold: float):
+    """Pairs of one block pair of a band that lie in different components and that can be similar enough.
+
+    A pair that shares several bands comes out in the first of them only.
+    """
     def run(key, table):
         ids, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, registers)
+        low, bands = _LowHashes(table.column("low").to_pylist(), n), _band_keys(regs, band)
+        this = int((bands[0].view(np.int64) == key[0].as_py()).argmax())
         half, a, b = table.column("half").to_numpy(), [], []
         left, right = (np.flatnonzero(half == k) for k in (0, 1))
-        if not len(right):
-            right = left
-        for i in left:
-            other = right[comp[right] != comp[i]]
+        own = not len(right)
+        for at, i in enumerate(left):
+            other = left[at + 1:] if own else right
+            other = other[comp[other] != comp[i]]
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == this]
             equal = (regs[other] == regs[i]).sum(axis=1)
             other = other[jaccard_estimate(equal, registers) >= least_estimate(np.minimum(n[i], n[other]), threshold, registers)]
+            if len(other):
+                other = other[low.possible(i, other, threshold)]
             a.append(np.minimum(ids[i], ids[other]))
             b.append(np.maximum(ids[i], ids[other]))
         none = np.empty(0, np.int64)
@@ -228,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     small_batches(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
     sketches = cut(docs.mapInArrow(
-        _sketches(shingle, registers), "doc_id long, n_shingles long, set_hash binary, registers binary"))
+        _sketches(shingle, registers), "doc_id long, n_shingles long, set_hash binary, registers binary, low binary"))
     sets = sketches.where("set_hash is not null and doc_id is not null")
     reps = cut(sets.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"),
                                             F.max("n_shingles").alias("n")))
@@ -251,12 +295,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
         "band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     mixed = mixed.where("lo < hi and n > 2").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    sketched = sets.select(F.col("doc_id").alias("rep"), "registers", "low", F.col("n_shingles").alias("size")).dropDuplicates(["rep"])
     members = at.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(
-        reps.select("rep", "registers", F.col("n").alias("size")), "rep")
+        sketched, "rep")
     dealt = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).cast("int").alias("half"), "rep", "component", "registers", F.col("size").alias("n"))
-    more = dealt.groupBy("band", "i", "j").applyInArrow(_across(registers, threshold), "a long, b long")
+        (F.col("block") > F.col("other")).cast("int").alias("half"), "rep", "component", "registers", "low", F.col("size").alias("n"))
+    more = dealt.groupBy("band", "i", "j").applyInArrow(_across(registers, band, threshold), "a long, b long")
     more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         # Components merge over the graph of components, which is far smaller than that of documents.
