@@ -230,6 +230,24 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, and ``same``: whether the ids decode to the text's bytes."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = load(path, pattern)
+        for batch in batches:
+            texts, ids, same = batch.column(1).to_pylist(), [], []
+            for text, chunks in zip(texts, table.encode_batch(texts)):
+                ids.append(list(chain.from_iterable(map(table.seen.__getitem__, chunks))))
+                same.append(table.decode(ids[-1]) == (text or "").encode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()),
+                pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "same"])
+
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, same boolean")
+
+
 def decode_documents(encoded: DataFrame, path: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """ids back to bytes: the kept columns and ``decoded`` binary."""
     small_batches(encoded.sparkSession)

@@ -314,3 +314,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     out = sketches.join(classes, "set_hash", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """All columns of one document per class, that with the smallest identifier."""
+    dropped = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
+    left = docs.join(cut(dropped), docs[id_col] == F.col("__drop"), "left_anti")
+    return left

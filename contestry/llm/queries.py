@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, neardup, suffixes, toxicity, urlfilter, warc
+from . import bpe, decontaminate, embeddings, neardup, passages, suffixes, tokencounts, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
+def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: words go, words come in the middle, and the end is continued."""
+    docs, n = _read(spark, sf_dir, "documents"), F.coalesce(F.length("text"), F.lit(0))
+    third, half = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
+
+    def edit(start, end, replacement):
+        return F.struct(start.alias("start"), end.alias("end"), F.lit(replacement).alias("replacement"))
+
+    edits = F.array(edit(third, third + 11, ""), edit(half, half, " edited text,"), edit(n + 2, n + 2, "tail 42"))
+    return tokencounts.edit_counts(docs.select("doc_id", "text", edits.alias("edits")), *_vocabulary())
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(_read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -60,7 +76,9 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_embeddings": op3_embeddings,
     "op4_bpe": op4_bpe,
+    "op5_passages": op5_passages,
     "op6_toxicity": op6_toxicity,
+    "op7_tokencounts": op7_tokencounts,
     "op8_suffixes": op8_suffixes,
     "op9_urlfilter": op9_urlfilter,
     "op10_warc": op10_warc,
