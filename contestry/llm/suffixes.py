@@ -9,8 +9,8 @@ which depends on its bytes alone. So equal strings always meet under one anchor
 2. Strings. Around each shared anchor the bytes of the matching strings it stands for are cut out. Equal cuts
    are one row with the smallest doc_id. Cuts under very common anchors are dealt by their matching strings.
 3. Suffix order. In each bucket the Burrows-Wheeler transform of the cuts is built by inserting one symbol of
-   every cut a round, from the last on; the transform, the suffixes and their common prefixes are rewritten as
-   sequential files every round. Neighbours with a long enough common prefix hold the same string.
+   every cut a round, from the last on, through a sequential file per round. Its order gives the common prefixes
+   of neighbouring suffixes; those with a long enough one hold the same string.
 
 Hashes only choose what meets; equality is of bytes. Defined cases: a null text has no bytes, texts shorter
 than the length lose nothing. Rows of one doc_id never remove bytes of each other; of documents with null
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -203,78 +204,73 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_order(strings: list[bytes], length: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of at least the given length in order: string, offset, common prefix with the one before (capped).
 
-    Symbols are bytes plus one; the end of a string is 0 and sorts by the string's number. ``folder`` holds the
-    transform (bwt), the suffixes (who, left) and the common prefixes, rewritten in sequence in every round.
+    Symbols are bytes plus one; the end of a string is 0 and sorts by the string's number. Every round reads the
+    transform from ``folder`` in sequence and writes the next one, a byte per suffix. The finished transform gives
+    each suffix its place by walking back from the ends, and neighbours their common prefixes.
     """
     m, n = len(strings), np.array([len(s) for s in strings])
     width = int(n.max())
-    text = np.zeros((m, width + length), np.uint8)  # right-aligned columns are read by length from the end
-    filled = np.arange(width + length) < n[:, None]
-    text[filled] = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
-    window = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)
-    last = text[np.arange(m), n - 1]
-    _put(folder, bwt=last, who=np.arange(m, dtype=np.int32), left=np.zeros(m, np.uint8), prefix=np.zeros(m, np.uint8))
-    pos = np.arange(m)
+    text = np.zeros((m, width + length), np.uint8)
+    text[np.arange(width + length) < n[:, None]] = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
+    pos, last = np.arange(m), ""
+    bwt = text[np.arange(m), n - 1]
     for r in range(1, width + 1):
-        bwt, who, left, prefix = _get(folder)
         active = np.flatnonzero(n >= r)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
         # Ends of strings stand first, then each suffix where the transform's symbols send it.
-        place = m + rank[pos[active]] - np.count_nonzero(bwt == 0)
+        place = m + _sent(bwt)[pos[active]]
         new = np.zeros(len(bwt) + len(active), bool)
         new[place] = True
-        grown = []
-        symbol = np.where(n[active] > r, text[active, np.maximum(n[active] - r - 1, 0)], 0).astype(np.uint8)
-        for old, fresh in ((bwt, symbol), (who, active.astype(np.int32)), (left, np.full(len(active), r, np.uint8)),
-                           (prefix, np.zeros(len(active), np.uint8))):
-            out = np.empty(len(new), old.dtype)
-            out[~new] = old
-            out[place] = fresh
-            grown.append(out)
-        bwt, who, left, prefix = grown
-        # Rows that stood in the list moved with it; the next round starts from the new ones.
+        out = np.empty(len(new), np.uint8)
+        out[~new] = bwt
+        out[place] = np.where(n[active] > r, text[active, np.maximum(n[active] - r - 1, 0)], 0)
         pos[active] = place
-        if r >= length:
-            near = np.unique(np.concatenate([place, place + 1]))
-            near = near[(near > 0) & (near < len(who))]
-            near = near[(left[near] >= length) & (left[near - 1] >= length)]
-            x = window[who[near], n[who[near]] - left[near]]
-            y = window[who[near - 1], n[who[near - 1]] - left[near - 1]]
-            same = x == y
-            prefix[near] = np.where(same.all(axis=1), length, same.argmin(axis=1))
-        _put(folder, bwt=bwt, who=who, left=left, prefix=prefix)
-    _, who, left, prefix = _get(folder)
-    long = left >= length
-    return who[long], n[who[long]] - left[long], prefix[long]
-
-
-def _put(folder: str, **columns: np.ndarray) -> None:
-    for name, column in columns.items():
-        column.tofile(f"{folder}/{name}")
-
-
-def _get(folder: str) -> list[np.ndarray]:
-    return [np.fromfile(f"{folder}/{name}", t) for name, t in (
-        ("bwt", np.uint8), ("who", np.int32), ("left", np.uint8), ("prefix", np.uint8))]
+        # A new file each round: writing over the old one would wait for the disk.
+        path = f"{folder}/bwt{r}"
+        out.tofile(path)
+        if last:
+            os.unlink(last)
+        bwt, last = np.fromfile(path, np.uint8), path
+    walk, at = _sent(bwt), np.arange(m)
+    places = [at]
+    for r in range(1, width + 1):
+        at = np.where(n >= r, m + walk[at], at)
+        places.append(at)
+    whole = [(np.flatnonzero(n >= r), r) for r in range(length, width + 1)]
+    who = np.concatenate([i for i, _ in whole])
+    left = np.concatenate([np.full(len(i), r) for i, r in whole])
+    where = np.concatenate([places[r][i] for i, r in whole])
+    order = np.argsort(where)
+    who, offset = who[order], (n[who] - left)[order]
+    rows = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)[who, offset]
+    prefix = np.zeros(len(who), np.uint8)
+    if len(who) > 1:
+        same = rows[1:] == rows[:-1]
+        prefix[1:] = np.where(same.all(axis=1), length, same.argmin(axis=1))
+    return who, offset, prefix
+
+
+def _sent(bwt: np.ndarray) -> np.ndarray:
+    """For each row the place, after the ends, of the suffix that its symbol begins."""
+    rank = np.empty(len(bwt), np.int32)
+    rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    return rank - np.int32(np.count_nonzero(bwt == 0))
 
 
 def _construct(key, table):
     """For each cut, the smallest doc_id of every matching-length string in it."""
-    strings, least = table.column("bytes").to_pylist(), table.column("least").to_numpy()
-    n = np.array([len(s) for s in strings])
-    if len(strings) == 1:
-        found = np.full(n[0] - LENGTH + 1, least[0])
-    else:
+    strings, least, anchor = table.column("bytes").to_pylist(), table.column("least").to_numpy(), table.column("anchor").to_numpy()
+    starts = np.array([len(s) for s in strings]) - LENGTH + 1
+    ends = np.cumsum(starts)
+    found = np.repeat(least, starts)
+    # The only cut of an anchor, and a string dealt on its own, has no other cut to meet.
+    _, code, number = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = np.flatnonzero((number[code] > 1) & (anchor != 0))
+    if len(several):
         with tempfile.TemporaryDirectory() as folder:
-            who, at, prefix = suffix_order(strings, LENGTH, folder)
+            who, at, prefix = suffix_order([strings[k] for k in several], LENGTH, folder)
         first = np.flatnonzero(np.concatenate([[True], prefix[1:] < LENGTH]))
-        low = np.repeat(np.minimum.reduceat(least[who], first), np.diff(np.concatenate([first, [len(who)]])))
-        start = np.cumsum(n - LENGTH + 1) - (n - LENGTH + 1)
-        found = np.empty((n - LENGTH + 1).sum(), np.int64)
-        found[start[who] + at] = low
-    ends = np.cumsum(n - LENGTH + 1)
+        low = np.repeat(np.minimum.reduceat(least[several][who], first), np.diff(np.concatenate([first, [len(who)]])))
+        found[(ends - starts)[several[who]] + at] = low
     firsts = [x.tobytes() for x in np.split(found, ends[:-1])]
     return pa.table({"bytes": table.column("bytes"), "anchor": table.column("anchor"), "firsts": pa.array(firsts, pa.binary())})
 
