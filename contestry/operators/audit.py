@@ -84,7 +84,7 @@ def bootstrap(priced: DataFrame, by: list[str], p: str = "p_model", resamples: i
     d = d.withColumn("block", F.pmod(F.xxhash64("match_id"), F.lit(64)))
     fields = ", ".join(f"`{c}` {t}" for c, t in d.select(*by).dtypes)
 
-    def block(key, table: pd.DataFrame) -> pd.DataFrame:
+    def block(key, table):
         table = table.sort_values("match_id")
         w = np.random.default_rng([seed, int(key[-1])]).poisson(1.0, (resamples, len(table)))
         out = {c: [v] * resamples for c, v in zip(by, key)}

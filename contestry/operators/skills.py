@@ -62,7 +62,7 @@ def solve(w: np.ndarray, wy: np.ndarray, i: np.ndarray, j: np.ndarray, n: int, r
 
 def fit(sums: DataFrame, ridge: float = RIDGE) -> DataFrame:
     """A skill table per surface and fit date; fits with too few rows are left out."""
-    def one(key, t: pd.DataFrame) -> pd.DataFrame:
+    def one(key, t):
         if t["n"].sum() < LEAST_ROWS:
             return pd.DataFrame(columns=["surface", "as_of", "player_id", "serve_skill", "return_skill", "n_obs", "intercept", "avg_serve", "avg_return"])
         t = t.sort_values(["player_id", "opp_id"])
