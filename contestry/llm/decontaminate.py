@@ -21,6 +21,8 @@ from .common import ascii_lower, maybe_broadcast, pick
 
 #: What separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for text whose letters are not lower-cased yet.
+_SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window that the first lookup hashes.
 LOOKUP_WORDS = 3
 #: Most distinct benchmark windows that are broadcast.
@@ -112,8 +114,8 @@ def remove_spans(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", t
         F.col("doc_id").alias("__bad_id"), F.col("of").alias("__bad_of"), F.col("spans").alias("__spans"))
     both = docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad_id"))
                      & (F.xxhash64(docs[text_col]) == F.col("__bad_of")), "left")
-    own = F.array_remove(F.split(docs[text_col], SEPARATORS), "")
-    between = F.split(docs[text_col], SEPARATORS.replace("[", "[^", 1))
+    own = F.array_remove(F.split(docs[text_col], _SEPARATORS_ANY_CASE), "")
+    between = F.split(docs[text_col], _SEPARATORS_ANY_CASE.replace("[", "[^", 1))
     # A text that begins with a word has an empty piece before it, one that ends with a word one after it.
     kept = F.transform(own, lambda x, i: F.when(F.exists(
         "__spans", lambda s: (s["s"] <= i) & (i < s["e"])), F.lit("")).otherwise(x))

@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     classes = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_hash", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(classes, "set_hash", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

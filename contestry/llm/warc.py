@@ -39,7 +39,8 @@ def url_key(url: str | None) -> str:
     rest = url.split("://", 1)[-1].split("#", 1)[0]
     cut_at = min((i for i in map(rest.find, "/?") if i >= 0), default=len(rest))
     host = rest[:cut_at].lower().rsplit("@", 1)[-1]
-    return ",".join(reversed(host.split("."))) + ")" + (rest[cut_at:] or "/").replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
+    key = ",".join(reversed(host.split("."))) + ")" + (rest[cut_at:] or "/")
+    return key.replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
 
 
 def _member(data: bytes) -> bytes:
