@@ -271,8 +271,12 @@ def _construct(key, table):
         first = np.flatnonzero(np.concatenate([[True], prefix[1:] < LENGTH]))
         low = np.repeat(np.minimum.reduceat(least[several][who], first), np.diff(np.concatenate([first, [len(who)]])))
         found[(ends - starts)[several[who]] + at] = low
-    firsts = [x.tobytes() for x in np.split(found, ends[:-1])]
-    return pa.table({"bytes": table.column("bytes"), "anchor": table.column("anchor"), "firsts": pa.array(firsts, pa.binary())})
+    # Where all strings of a cut begin first in one document, that is said once; where no other document has any
+    # of them there is nothing to say.
+    firsts = [x[:1].tobytes() + b"%d" % len(x) if (x == x[0]).all() else x.tobytes() for x in np.split(found, ends[:-1])]
+    most = table.column("most").to_numpy()
+    useful = pa.array(np.minimum.reduceat(found, ends - starts) < most)
+    return pa.table({"anchor": table.column("anchor"), "cut": table.column("cut"), "firsts": pa.array(firsts, pa.binary())}).filter(useful)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +284,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for doc_id, of, at, firsts in zip(*(c.to_pylist() for c in batch.columns)):
-            bad = np.concatenate([[False], np.frombuffer(firsts, np.int64) < doc_id, [False]])
+            first = np.frombuffer(firsts, np.int64) if len(firsts) % 8 == 0 else np.full(int(firsts[8:]), np.frombuffer(firsts[:8], np.int64)[0])
+            bad = np.concatenate([[False], first < doc_id, [False]])
             edge = np.flatnonzero(bad[1:] != bad[:-1])
             out += [(doc_id, of, at + int(a), at + int(z) - 1 + LENGTH) for a, z in zip(edge[::2], edge[1::2])]
         columns = list(zip(*out)) or [[]] * 4
@@ -329,26 +334,27 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     places = cut(long.join(maybe_broadcast(marked, marked.count(), 50_000), ["doc_id", "of"]).select(
         "doc_id", "of", "text", "ordinals").mapInArrow(_cuts, "anchor long, bytes binary, doc_id long, of long, at long"))
     _free(spark)
-    distinct = places.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    common = places.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > COMMON_CUTS)
-    distinct, common = cut(distinct), cut(common)
     # Cuts of very common anchors are dealt by their strings instead: each string of the length is a cut itself.
-    if not common.isEmpty():
-        hot = maybe_broadcast(common.select("anchor"), common.count())
-        places = cut(places.join(hot, "anchor", "left_anti").select("anchor", "bytes", "doc_id", "of", "at").unionByName(
+    common = cut(places.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > COMMON_CUTS).select("anchor"))
+    n_common = common.count()
+    if n_common:
+        hot = maybe_broadcast(common, n_common)
+        places = places.join(hot, "anchor", "left_anti").select("anchor", "bytes", "doc_id", "of", "at").unionByName(
             places.join(hot, "anchor").select("*", F.explode(F.sequence(
                 F.lit(0), F.octet_length("bytes") - LENGTH)).alias("k")).select(
                 F.lit(0).cast("long").alias("anchor"), F.expr(f"substring(bytes, k + 1, {LENGTH})").alias("bytes"), "doc_id", "of",
-                (F.col("at") + F.col("k")).alias("at"))))
-        distinct = cut(places.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+                (F.col("at") + F.col("k")).alias("at")))
+    distinct = cut(places.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+    _free(spark)
     groups = max(1, distinct.count() // BUCKET_CUTS)
-    by = F.when(F.col("anchor") == 0, F.xxhash64("bytes")).otherwise(F.col("anchor"))
-    firsts = distinct.select("anchor", "bytes", "least", F.pmod(F.xxhash64(by), F.lit(groups)).alias("bucket")).groupBy(
-        "bucket").applyInArrow(_construct, "bytes binary, anchor long, firsts binary")
-    # A cut whose every string begins nowhere smaller has nothing to tell.
-    firsts = cut(firsts)
-    spans = cut(places.join(firsts, ["anchor", "bytes"]).select("doc_id", "of", "at", "firsts").mapInArrow(
-        _spans, "doc_id long, of long, s long, e long"))
+    cut_hash = F.xxhash64("bytes")
+    by = F.when(F.col("anchor") == 0, cut_hash).otherwise(F.col("anchor"))
+    firsts = cut(distinct.select("anchor", cut_hash.alias("cut"), "bytes", "least", "most", F.pmod(F.xxhash64(by), F.lit(groups)).alias(
+        "bucket")).groupBy("bucket").applyInArrow(_construct, "anchor long, cut long, firsts binary"))
+    _free(spark)
+    # A cut is named by its anchor's and its own hash, 128 bits, so that its bytes need not come along again.
+    spans = cut(places.select("anchor", cut_hash.alias("cut"), "doc_id", "of", "at").join(firsts, ["anchor", "cut"]).select(
+        "doc_id", "of", "at", "firsts").mapInArrow(_spans, "doc_id long, of long, s long, e long"))
     _free(spark)
     # Touching runs of starts of neighbouring cuts are collected per document, which has few of them.
     per_doc = spans.groupBy("doc_id", "of").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
