@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: Largest number of rows, of a few dozen bytes each, that is ever broadcast.
 BROADCAST_ROWS = 200_000
+#: Spark's own setting by which a finished execution deletes its shuffle files; a written table needs them no more.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
