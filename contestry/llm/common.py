@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds, so that a batch of long texts fits in a Python worker.
 ARROW_ROWS = 512
+#: Bytes after which an Arrow batch is full, whatever its rows: some texts are thousands of times the usual length.
+ARROW_BYTES = 8 << 20
 #: Largest number of rows, of a few dozen bytes each, that is ever broadcast.
 BROADCAST_ROWS = 200_000
 #: Spark's own setting by which a finished execution deletes its shuffle files; a written table needs them no more.
@@ -54,6 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
