@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, pick, small_batches
+from .common import cut, giving_back, maybe_broadcast, pick, small_batches
 from .components import components
 
 #: Registers of a sketch, registers of a band, and mantissa bits of a register.
@@ -38,7 +38,7 @@ BLOCK = 1024
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -256,14 +256,14 @@ class _Confirmer:
 
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").select(
                 "a", "b", "ra", "rb", F.least("na", "nb").alias("n"))
-            pairs = pairs.mapInArrow(_estimate(self.registers, self.threshold), "a long, b long")
+            pairs = pairs.mapInArrow(giving_back(_estimate(self.registers, self.threshold)), "a long, b long")
         pairs = cut(pairs)
         ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         # The texts of candidates only; where the identifiers are few enough they go to every task.
         texts = cut(self.docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
         both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
             texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return cut(both.mapInArrow(_confirm(self.size, round(100 * self.threshold)), "a long, b long"))
+        return cut(both.mapInArrow(giving_back(_confirm(self.size, round(100 * self.threshold))), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id",
@@ -271,8 +271,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     """doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     docs = pick(docs, doc_id=id_col, text=text_col)
-    sketches = cut(docs.mapInArrow(
-        _sketches(shingle, registers), "doc_id long, n_shingles long, set_hash binary, registers binary, low binary"))
+    sketches = cut(docs.mapInArrow(giving_back(
+        _sketches(shingle, registers)), "doc_id long, n_shingles long, set_hash binary, registers binary, low binary"))
     sets = sketches.where("set_hash is not null and doc_id is not null")
     reps = cut(sets.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"),
                                             F.max("n_shingles").alias("n")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches
+from .common import giving_back, pick, small_batches
 
 #: Labelled rows of the sample, words of the vocabulary, neighbours, examples of a block.
 SAMPLE_ROWS, VOCABULARY, NEIGHBOURS, BLOCK = 8192, 512, 15, 64
@@ -179,7 +179,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str | N
                                          names=["word", "n"])
 
     # As many rows as words of the bounded vocabulary.
-    rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(giving_back(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"]: r["n"] for r in rows.collect()}
 
 
