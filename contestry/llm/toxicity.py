@@ -138,8 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = spark.createDataFrame(chosen.toPandas().astype("int64"), "doc_id long, toxic long")  # at most sample_rows pairs
-    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn(
-        "head", F.substring("text", 1, COPY_HEAD)).dropDuplicates(["head", "toxic"]).select("doc_id", "text", "toxic").mapInArrow(
+    # Minima instead of any row, so that a repeated run learns the same.
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).groupBy(
+        F.substring("text", 1, COPY_HEAD).alias("head"), "toxic").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).select("doc_id", "text", "toxic").mapInArrow(
         _example_words, "doc_id long, toxic long, words array<string>, tf array<int>").persist()
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
