@@ -56,21 +56,30 @@ class CountTree:
             self.tokens[leaf] += more[1]
             leaf //= 2
 
-    def edit(self, start: int, end: int, replacement: str) -> None:
+    def touched(self, start: int, end: int, replacement: str) -> str:
+        """Make an edit; the text of the leaves it touches, whose chunks ``settle`` wants next."""
         n = len(self.text)
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        first, begin = self.leaf_at(max(start - 1, 0)) if n else (self.size, 0)
-        last, last_begin = self.leaf_at(min(end, n - 1)) if n else (first, 0)
-        stop = last_begin + int(self.chars[last])
+        self.first, begin = self.leaf_at(max(start - 1, 0)) if n else (self.size, 0)
+        self.last, last_begin = self.leaf_at(min(end, n - 1)) if n else (self.first, 0)
+        stop = last_begin + int(self.chars[self.last])
         region = self.text[begin:start] + replacement + self.text[end:stop]
-        chunks = next(self.table.encode_batch([region]))
-        self._set(first, len(region), sum(len(self.table.seen[c]) for c in chunks))
-        for leaf in range(first + 1, last + 1):
-            if self.chars[leaf]:
-                self._set(leaf, 0, 0)
         self.text = self.text[:start] + replacement + self.text[end:]
         self.encoded += len(region)
+        return region
+
+    def settle(self, chars: int, tokens: int) -> None:
+        """Put the touched leaves' new counts in the first of them and empty the others."""
+        self._set(self.first, chars, tokens)
+        for leaf in range(self.first + 1, self.last + 1):
+            if self.chars[leaf]:
+                self._set(leaf, 0, 0)
+
+    def edit(self, start: int, end: int, replacement: str) -> None:
+        region = self.touched(start, end, replacement)
+        chunks = next(self.table.encode_batch([region]))
+        self.settle(len(region), sum(len(self.table.seen[c]) for c in chunks))
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -88,16 +97,20 @@ def edit_counts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(path, pattern)
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
-            for doc_id, text, chunks, edits in zip(batch.column(0).to_pylist(), texts, list(table.encode_batch(texts)),
-                                                   batch.column(2).to_pylist()):
-                # Edits may have cleared the memory of chunks; what is missing is learnt again.
-                table.learn(chunks)
-                tree = CountTree(text or "", chunks, table)
-                before = int(tree.tokens[1])
-                for e in edits or ():
-                    tree.edit(e["start"] or 0, e["end"] if e["end"] is not None else e["start"] or 0, e["replacement"] or "")
-                out.append((doc_id, len(chunks), before, len(edits or ()), int(tree.tokens[1]), len(tree.text), tree.encoded))
+            texts, lists = batch.column(1).to_pylist(), [e or [] for e in batch.column(2).to_pylist()]
+            trees, out = [], []
+            for text, chunks in zip(texts, table.encode_batch(texts)):
+                trees.append(CountTree(text or "", chunks, table))
+                out.append([len(chunks), int(trees[-1].tokens[1])])
+            # Edits of one document follow each other; the k-th edits of all documents are encoded together.
+            for k in range(max(map(len, lists), default=0)):
+                turn = [(tree, edits[k]) for tree, edits in zip(trees, lists) if k < len(edits)]
+                regions = [tree.touched(e["start"] or 0, e["end"] if e["end"] is not None else e["start"] or 0, e["replacement"] or "")
+                           for tree, e in turn]
+                for (tree, _), region, chunks in zip(turn, regions, table.encode_batch(regions)):
+                    tree.settle(len(region), sum(len(table.seen[c]) for c in chunks))
+            out = [(doc_id, *before, len(edits), int(tree.tokens[1]), len(tree.text), tree.encoded)
+                   for doc_id, before, edits, tree in zip(batch.column(0).to_pylist(), out, lists, trees)]
             columns = list(zip(*out)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[
                 "doc_id", "n_leaves", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded"])
