@@ -252,6 +252,22 @@ def test_chain_is_collinear():
     assert sorted(i for line in passages.chain(x, y) for i in line) == list(range(40))
 
 
+def test_passages_apart_in_one_pair(spark):
+    rng = random.Random(5)
+    word = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, want = [], {}
+    for k, (n, gap, other) in enumerate([(60, 40, 40), (60, 60, 60), (100, 60, 60), (100, 100, 100), (100, 150, 150), (60, 50, 0), (80, 0, 70)]):
+        one, two, x, y = word(n), word(n), word(30), word(20)
+        rows += [(2 * k, " ".join(x + one + word(other) + two + word(9))), (2 * k + 1, " ".join(y + one + word(gap) + two + word(9)))]
+        want[2 * k + 1] = set(range(20, 20 + n)) | set(range(20 + n + gap, 20 + 2 * n + gap))
+    found = {}
+    for r in passages.repeated_passages(table(spark, rows)).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.s, r.e))
+    for i, words in want.items():
+        assert len(words & found.get(i, set())) >= 0.9 * len(words), i
+        assert len(found[i] - words) <= 4, i
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     plain, bad = [f"p{i}" for i in range(300)], ["vile", "rotten", "nasty"]
