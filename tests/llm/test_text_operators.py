@@ -268,6 +268,24 @@ def test_passages_apart_in_one_pair(spark):
         assert len(found[i] - words) <= 4, i
 
 
+def test_passages_at_the_stated_identity_and_of_frequent_seeds(spark):
+    rng = random.Random(6)
+    word = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, want = [], []
+    for k, every in enumerate([5, 6, 7, 8, 10] * 3):  # identity 0.8 and more, evenly spread
+        one = word(60)
+        two = [f"x{i}" if i % every == every - 1 else w for i, w in enumerate(one)]
+        rows += [(1000 + 2 * k, " ".join(word(30) + one + word(30))), (1001 + 2 * k, " ".join(word(20) + two + word(30)))]
+        want.append(1001 + 2 * k)
+    shared = word(60)
+    for k in range(50):  # smaller documents have every seed for other reasons
+        rows.append((k, " ".join(word(20) + shared[k:k + 10] + word(20))))
+    rows += [(2000, " ".join(word(20) + shared + word(20))), (2001, " ".join(word(30) + shared + word(20)))]
+    want.append(2001)
+    found = {r.doc_id for r in passages.repeated_passages(table(spark, rows)).collect() if r.n_words >= 50}
+    assert set(want) <= found, set(want) - found
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     plain, bad = [f"p{i}" for i in range(300)], ["vile", "rotten", "nasty"]
