@@ -8,8 +8,8 @@ each of them left out of its own vote.
 
 Defined cases: null and empty texts have no words and get the calibrated rate of examples without any telling
 word. Ties between neighbours go to the example that comes first. Repeated labels of one document count once,
-toxic if any says so; null labels are no labels. Without labelled rows every score is 0. Repeated rows give a
-row each. Only text is an input of a score.
+toxic if any says so; null labels are no labels. Labelled texts that are equal but for capitals and spaces are one
+example. Without labelled rows every score is 0. Repeated rows give a row each. Only text is an input of a score.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ SAMPLE_ROWS, VOCABULARY, NEIGHBOURS, BLOCK = 8192, 512, 15, 64
 #: A word tells the labels apart from this chi-square on, in at least so many examples, and in this share of the
 #: rarer label's number: fewer may be copies of a few texts.
 LEAST_CHI2, LEAST_DF, LEAST_SHARE = 40.0, 4, 0.02
-#: Examples that begin with the same characters count once: copies of one text are one example.
-COPY_HEAD = 48
 #: Weight of the examples' base rate beside the votes.
 PRIOR_WEIGHT = 0.2
 _WORD = re.compile(r"[^\W_]+")
@@ -138,9 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = spark.createDataFrame(chosen.toPandas().astype("int64"), "doc_id long, toxic long")  # at most sample_rows pairs
+    # Copies of one text, but for capitals and spaces, are one example.
+    whole = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
     # Minima instead of any row, so that a repeated run learns the same.
     sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).groupBy(
-        F.substring("text", 1, COPY_HEAD).alias("head"), "toxic").agg(
+        whole.alias("whole"), "toxic").agg(
         F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).select("doc_id", "text", "toxic").mapInArrow(
         _example_words, "doc_id long, toxic long, words array<string>, tf array<int>").persist()
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()

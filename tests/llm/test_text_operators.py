@@ -321,6 +321,19 @@ def test_nearest_examples_are_exact():
         assert i.tolist() == want.tolist()
 
 
+def test_examples_with_one_opening_line(spark):
+    rng = random.Random(8)
+    line = "This document is licensed under the terms of the public licence. "
+    rows = [(i, line + " ".join(rng.choices([f"p{k}" for k in range(200)], k=20) + ["awful"] * (i % 3 == 0))) for i in range(300)]
+    rows += [(300 + i, line.upper() + " copy  of one text awful" + " " * i) for i in range(30)]
+    labels = spark.createDataFrame([(i, int("awful" in x)) for i, x in rows], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, rows), labels)
+    used = {r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+    want = {i for i in used if i < 300 and i % 3 == 0} | {min(i for i in used if i >= 300)}
+    assert want <= set(model.ids.tolist()) and not {i for i in used if i >= 300} - want & set(model.ids.tolist())
+    assert model.score(line + "p1 p2 p3 awful")[0] > 0.5 > model.score(line + "p1 p2 p3")[0]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score(table(spark, [(1, "a")]), none).collect()] == [0.0]
