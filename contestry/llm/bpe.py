@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding from a rank file.
 
-Texts are cut into pre-tokens; pre-tokens that a worker has not met yet are encoded together in
+Texts are cut into pre-tokens; the distinct pre-tokens of some megabytes of text are encoded together in
 length-bucketed, padded numpy matrices. In every round each row merges its leftmost pair of minimum rank: the
-rank of a pair of token ids is looked up in a sorted hash table, the pair becomes one id and the row is
-compacted; finished rows leave the matrix. Rows are independent, so a batch needs no state but the table.
+rank of a pair of token ids is looked up in a hash table, the pair becomes one id and the row is compacted;
+finished rows leave the matrix. Rows are independent, so a batch needs no state but the table.
 
 Defined cases: a null text counts as empty (no ids, zero bytes); lone surrogates, which UTF-8 cannot hold,
 are replaced as "?". Texts of any length are encoded whole. Repeated rows give a row each, an empty table
@@ -14,8 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,25 +25,158 @@ from pyspark.sql import DataFrame
 
 from .common import pick, small_batches
 
-#: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
-#: Cells of a padded matrix.
-CELLS = 1 << 20
+#: Characters of texts that are encoded together, and cells of a padded matrix.
+TOGETHER, CELLS = 8 << 20, 1 << 20
 #: Rows longer than this merge all occurrences of their best pair in a round, where that gives the same ids.
 LONG = 256
-#: Chunks between white space; a run of white space goes with what follows it.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: The pattern whose pre-tokens are found by array operations; others go through ``regex``.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.iinfo(np.int32).max
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Letter, number, white space or other, for every code point."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    kinds = np.full(0x110000, _OTHER, np.uint8)
+    for kind, name in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+        kinds[np.frombuffer("".join(regex.findall(f"{name}+", every)).encode("utf-32-le"), np.uint32)] = kind
+    return kinds
+
+
+def _spans(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokens of KNOWN_PATTERN; texts begin where ``first`` says, and pre-tokens leave nothing out."""
+    kind = _kinds()[code]
+    new = first.copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    start = np.flatnonzero(new)
+    kind = kind[start]
+    # Runs of one kind that the same text goes on after.
+    goes_on = np.append(~first[start[1:]], False)
+    end = np.append(start[1:], len(code))
+    space = goes_on & (kind == _SPACE)
+    single = code[end - 1] == ord(" ")
+    # A last space goes with the run after it; another last white space stands alone.
+    new[end[space] - 1] = True
+    new[end[space & single]] = False
+    taken = np.append(False, (space & single)[:-1])
+    mark = np.flatnonzero(goes_on & (code[start] == ord("'")) & (end - start == 1) & ~taken & np.append(kind[1:] == _LETTER, False))
+    if len(mark):
+        q = start[mark]
+        one = code[q + 1]
+        room = end[mark + 1] - end[mark] >= 2
+        two = np.where(room, code[np.minimum(q + 2, len(code) - 1)], 0)
+        n = np.isin(one, list(map(ord, "stmd"))).astype(np.int64)
+        for pair in ("re", "ve", "ll"):
+            n[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+        q, n = q[n > 0], n[n > 0]
+        new[q + 1] = False
+        after = q + 1 + n
+        new[after[after < len(code)]] = True
+    return np.flatnonzero(new)
+
+
+def _expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i] .. start[i] + size[i] - 1, for each i in turn."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+class Encoded:
+    """The pre-tokens of some texts, numbered among the distinct ones, and the ids of those."""
+
+    def __init__(self, table: BytePairs, texts: list[str | None]):
+        texts = [t or "" for t in texts]
+        try:
+            joined = "".join(texts)
+            code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        except UnicodeEncodeError:
+            texts = [t.encode("utf-8", "replace").decode() for t in texts]
+            joined = "".join(texts)
+            code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        chars = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(chars) - chars
+        if table.known_pattern and len(code):
+            first = np.zeros(len(code), bool)
+            first[begin[chars > 0]] = True
+            start = _spans(code, first)
+            size = np.diff(np.append(start, len(code)))
+        else:
+            at = [(b + m.start(), m.end() - m.start()) for b, t in zip(begin.tolist(), texts) for m in table.pattern.finditer(t)]
+            start, size = np.array(at, np.int64).reshape(-1, 2).T
+        self.code, self.start, self.size = code, start, size
+        #: Pre-tokens before each text, and before the end.
+        self.offsets = np.append(np.searchsorted(start, begin), len(start))
+        self.chars = chars
+        least, self.number = self._distinct()
+        pieces = [joined[a:a + n].encode() for a, n in zip(start[least].tolist(), size[least].tolist())]
+        self.ids, self.ids_start, self.n_ids = table.merge(pieces)
+        self.table = table
+
+    def _distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each distinct pre-token, and which of them each one is."""
+        if not len(self.start):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        power = np.cumprod(np.full(int(self.size.max()), _BASE, np.uint64))
+        flat = _expand(self.start, self.size)
+        within = flat - np.repeat(self.start, self.size)
+        key = np.add.reduceat((self.code[flat].astype(np.uint64) + np.uint64(1)) * power[within], np.cumsum(self.size) - self.size)
+        _, least, number = np.unique(key, return_index=True, return_inverse=True)
+        # Keys only propose; the characters decide.
+        same = self.size[least][number] == self.size
+        if same.all() and (self.code[np.repeat(self.start[least][number], self.size) + within] == self.code[flat]).all():
+            return least, number
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(self.code[a:a + n].tobytes(), len(known)) for a, n in zip(self.start, self.size)])
+        return np.unique(number, return_index=True)[1], number
+
+    def counts(self) -> np.ndarray:
+        """Ids of each pre-token."""
+        return self.n_ids[self.number]
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many of them come before each text, and before the end."""
+        n = self.counts()
+        flat = self.ids[_expand(self.ids_start[self.number], n)]
+        return flat, np.append(0, np.cumsum(n))[self.offsets]
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters and ids of the chunks between white space, and how many come before each text, and before the end.
+
+        A chunk begins where white space begins; what stands before has no influence on its pre-tokens.
+        """
+        if not len(self.start):
+            return np.empty(0, np.int64), np.empty(0, np.int64), self.offsets
+        space = _kinds()[self.code] == _SPACE
+        begins = space[self.start] & ~np.append(True, space[self.start[1:] - 1])
+        begins[self.offsets[:-1][self.offsets[:-1] < len(self.start)]] = True
+        at = np.flatnonzero(begins)
+        return np.add.reduceat(self.size, at), np.add.reduceat(self.counts(), at), np.searchsorted(at, self.offsets)
+
+
+def together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[str | None]]]:
+    """Batches and their texts, several at a time: distinct pre-tokens are encoded once for all of them."""
+    held, texts, n = [], [], 0
+    for batch in batches:
+        held.append(batch)
+        texts += batch.column(column).to_pylist()
+        n += batch.column(column).nbytes
+        if n > TOGETHER:
+            yield held, texts
+            held, texts, n = [], [], 0
+    if held:
+        yield held, texts
 
 
 class BytePairs:
     """A rank table and its pattern: bytes to ids and back."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.known_pattern = regex.compile(pattern), pattern == KNOWN_PATTERN
         self.parts = {rank: part for part, rank in ranks.items()}
-        self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         # All splits of each token in two tokens: key of the pair -> rank of the whole.
         keys, values = [], []
         for part, rank in ranks.items():
@@ -55,9 +187,9 @@ class BytePairs:
                     values.append(rank)
         self._build(np.array(keys, np.int64), np.array(values, np.int32))
         self.ranks = ranks
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.said: dict[str, str] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Bytes of each id, and its decimal digits with a comma, one after another.
+        self.bytes_of = _packed(self.parts[k] if k in self.parts else b"" for k in range(max(self.parts) + 1))
+        self.digits_of = _packed(b"%d," % k for k in range(max(self.parts) + 1))
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing over a power of two; entries that collide go to the next free slot."""
@@ -79,72 +211,90 @@ class BytePairs:
         return ((h ^ (h >> np.uint64(29))) & self.mask).astype(np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = (left << 32) | right
-        at = self._home(keys.ravel()).reshape(keys.shape)
-        out = np.full(keys.shape, _NONE, np.int32)
-        for _ in range(self.reach):
-            np.copyto(out, self.value[at], where=self.slots[at] == keys)
-            at = (at + 1) & int(self.mask)
-        return out
-
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each pre-token."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        todo = []
-        for i, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[i] = (whole,)
-            elif piece:
-                todo.append(i)
-        todo.sort(key=lambda i: len(pieces[i]))
-        start = 0
-        while start < len(todo):
-            # A bucket: rows of like lengths, the longest at most twice the shortest.
-            shortest, end = len(pieces[todo[start]]), start
-            while end < len(todo) and len(pieces[todo[end]]) <= 2 * shortest and (
-                    end == start or (end + 1 - start) * len(pieces[todo[end]]) <= CELLS):
-                end += 1
-            rows = todo[start:end]
-            for i, ids in zip(rows, self._merge_bucket([pieces[i] for i in rows])):
-                out[i] = ids
-            start = end
-        return out
-
-    def _merge_bucket(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        n = np.array([len(x) for x in pieces])
-        ids = np.full((len(pieces), n.max()), -1, np.int64)
-        inside = np.arange(n.max()) < n[:, None]
-        ids[inside] = self.bytes_to_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        who = np.arange(len(pieces))
+        keys = (left.ravel().astype(np.int64) << 32) | right.ravel()
+        at = self._home(keys)
+        slot = self.slots[at]
+        out = np.where(slot == keys, self.value[at], _NONE)
+        todo = np.flatnonzero((slot != keys) & (slot != -1))
+        while len(todo):
+            at = (at[todo] + 1 if len(at) > len(todo) else at + 1) & int(self.mask)
+            slot = self.slots[at]
+            hit = slot == keys[todo]
+            out[todo[hit]] = self.value[at[hit]]
+            more = ~hit & (slot != -1)
+            todo, at = todo[more], at[more]
+        return out.reshape(left.shape)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens, and for each pre-token where its ids start and how many they are."""
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        n, start = (whole >= 0).astype(np.int64), np.cumsum(whole >= 0) - 1
+        found, at = [whole[whole >= 0]], int(n.sum())
+        todo = np.flatnonzero((whole < 0) & (size > 0))
+        todo = todo[np.argsort(size[todo], kind="stable")]
+        while len(todo):
+            # A bucket: rows of like lengths, the longest at most a quarter longer than the shortest, or two cells.
+            shortest = int(size[todo[0]])
+            end = int(np.searchsorted(size[todo], max(shortest * 5 // 4, shortest + 2), "right"))
+            end = max(1, min(end, CELLS // int(size[todo[end - 1]])))
+            rows, todo = todo[:end], todo[end:]
+            ids, n[rows] = self._merge_bucket(data[_expand(begin[rows], size[rows])], size[rows])
+            start[rows] = at + np.cumsum(n[rows]) - n[rows]
+            found.append(ids)
+            at += len(ids)
+        return np.concatenate(found), start, n
+
+    def _merge_bucket(self, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = n.copy()
+        cells = np.arange(n.max())
+        ids = np.full((len(n), len(cells)), -1, np.int32)
+        ids[cells < n[:, None]] = self.bytes_to_id[data]
+        out, size = np.full(ids.shape, -1, np.int32), n.copy()
+        who = np.arange(len(n))
         ranks = self._row_ranks(ids, n)
         while len(who):
-            best = ranks.argmin(axis=1)
-            low = ranks[np.arange(len(who)), best] if ranks.shape[1] else np.full(len(who), _NONE)
+            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(who), np.int64)
+            low = ranks[np.arange(len(who)), best] if ranks.shape[1] else np.full(len(who), _NONE, np.int32)
             done = low == _NONE
             if done.any():
-                for r in np.flatnonzero(done):
-                    out[who[r]] = tuple(ids[r, :n[r]].tolist())
+                out[who[done], :ids.shape[1]] = ids[done]
+                size[who[done]] = n[done]
                 keep = ~done
                 ids, ranks, n, who, best, low = ids[keep], ranks[keep], n[keep], who[keep], best[keep], low[keep]
                 if not len(who):
                     break
             if ids.shape[1] > LONG:
-                hit = self._safe_hits(ids, ranks, low, best)
+                ids, n = self._close_up(ids, n, self._safe_hits(ids, ranks, low, best), low)
+                ranks = self._row_ranks(ids, n)
             else:
-                hit = np.zeros(ids.shape, bool)
-                hit[np.arange(len(who)), best] = True
-            # The pair's first cell becomes the whole, its second goes, and the row closes up.
-            ids = np.where(hit, low[:, None], ids)
-            stay = np.ones(ids.shape, bool)
-            stay[:, 1:] = ~hit[:, :-1]
-            n = n - hit.sum(axis=1)
-            order = np.argsort(~stay, axis=1, kind="stable")[:, :n.max()]
-            ids = np.take_along_axis(ids, order, axis=1)
-            ids[np.arange(ids.shape[1]) >= n[:, None]] = -1
-            ranks = self._row_ranks(ids, n)
-        return out
+                ids, ranks, n = self._one_merge(ids, ranks, n, best, low)
+        return out[cells < size[:, None]], size
+
+    def _one_merge(self, ids, ranks, n, best, low):
+        """The pair's first cell becomes the whole and the row closes up; only the two pairs of that cell are looked up."""
+        rows, width = np.arange(len(ids)), ids.shape[1]
+        cells = np.arange(width)
+        ids = ids[cells != best[:, None] + 1].reshape(-1, width - 1)
+        ids[rows, best] = low
+        n = n - 1
+        ranks = ranks[cells[:-1] != best[:, None]].reshape(-1, width - 2)
+        for k in (best - 1, best):
+            r = np.flatnonzero((k >= 0) & (k + 1 < n))
+            ranks[r, k[r]] = self.pair_ranks(ids[r, k[r]], ids[r, k[r] + 1])
+        return ids, ranks, n
+
+    def _close_up(self, ids, n, hit, low):
+        """The first cell of each hit pair becomes the whole, its second goes, and the row closes up."""
+        ids = np.where(hit, low[:, None], ids)
+        stay = np.ones(ids.shape, bool)
+        stay[:, 1:] = ~hit[:, :-1]
+        n = n - hit.sum(axis=1)
+        order = np.argsort(~stay, axis=1, kind="stable")[:, :n.max()]
+        ids = np.take_along_axis(ids, order, axis=1)
+        ids[np.arange(ids.shape[1]) >= n[:, None]] = -1
+        return ids, n
 
     def _row_ranks(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         if ids.shape[1] < 2:
@@ -154,7 +304,11 @@ class BytePairs:
         return ranks
 
     def _safe_hits(self, ids, ranks, low, best) -> np.ndarray:
-        """Leftmost pair of each row, or all its non-overlapping occurrences if none makes a better pair."""
+        """Leftmost pair of each row, or all its non-overlapping occurrences if none makes a better pair.
+
+        Merged one by one, an occurrence meets on its left what it meets in the end, and on its right either that
+        or the first half of an occurrence still to be merged; neither may make a pair of a lower rank.
+        """
         rows = np.arange(len(ids))
         hit = np.zeros(ids.shape, bool)
         same = ranks == low[:, None]
@@ -167,43 +321,39 @@ class BytePairs:
         stay[:, 1:] = ~hit[:, :-1]
         for r in rows:
             line = merged[r][stay[r] & (ids[r] >= 0)]
-            if len(line) > 1 and (self.pair_ranks(line[:-1], line[1:]) < low[r]).any():
+            ahead = self.pair_ranks(low[r:r + 1], ids[r, best[r]:best[r] + 1])[0] < low[r]
+            if ahead or len(line) > 1 and (self.pair_ranks(line[:-1], line[1:]) < low[r]).any():
                 hit[r] = False
                 hit[r, best[r]] = True
         return hit
 
-    def learn(self, chunks: Iterator[str]) -> None:
-        """Encode the chunks that are not remembered, all their pre-tokens in one batch."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.seen]
-        if not new:
-            return
-        cut = list(map(self.pattern.findall, new))
-        unknown = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.known]
-        self.known.update(zip(unknown, self.merge([p.encode("utf-8", "replace") for p in unknown])))
-        known = self.known
-        for chunk, pieces in zip(new, cut):
-            found = known[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(known.__getitem__, pieces)))
-            self.seen[chunk] = found
-            self.said[chunk] = ",".join(map(str, found))
-
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[str]]:
-        """The chunks of each text, with all of them in ``seen`` and ``said``."""
-        chunks = [_CHUNK.findall(t) if t else [] for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-            self.said.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(chain.from_iterable(chunks))
-        return iter(chunks)
-
     def encode(self, text: str | None) -> list[int]:
-        chunks = next(self.encode_batch([text]))
-        return list(chain.from_iterable(map(self.seen.__getitem__, chunks)))
+        return Encoded(self, [text]).flat()[0].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.parts.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes of each text's ids, which begin at its offset."""
+        return _unpacked(self.bytes_of, ids, offsets)
+
+    def decimal(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text in decimal, joined by commas."""
+        return [x[:-1] for x in _unpacked(self.digits_of, ids, offsets)]
+
+
+def _packed(values: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = list(values)
+    size = np.array([len(x) for x in values])
+    return np.frombuffer(b"".join(values), np.uint8), np.cumsum(size) - size, size
+
+
+def _unpacked(packed, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    data, start, size = packed
+    ends = np.append(0, np.cumsum(size[ids]))[offsets].tolist()
+    out = data[_expand(start[ids], size[ids])].tobytes()
+    return [out[a:z] for a, z in zip(ends, ends[1:])]
+
 
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> BytePairs:
@@ -213,6 +363,14 @@ def load(path: str, pattern: str) -> BytePairs:
     return BytePairs(ranks, pattern)
 
 
+def _column(held: list[pa.RecordBatch], k: int) -> pa.Array:
+    return pa.concat_arrays([b.column(k) for b in held])
+
+
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, n_tokens."""
@@ -220,12 +378,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(path, pattern)
-        for batch in batches:
-            ids = [list(chain.from_iterable(map(table.seen.__getitem__, chunks)))
-                   for chunks in table.encode_batch(batch.column(1).to_pylist())]
+        for held, texts in together(batches, 1):
+            ids, offsets = Encoded(table, texts).flat()
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())],
-                names=["doc_id", "ids", "n_tokens"])
+                _column(held, 0), _lists(ids, offsets), pa.array(np.diff(offsets))], names=["doc_id", "ids", "n_tokens"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
@@ -236,14 +392,12 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, *, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(path, pattern)
-        for batch in batches:
-            texts, ids, same = batch.column(1).to_pylist(), [], []
-            for text, chunks in zip(texts, table.encode_batch(texts)):
-                ids.append(list(chain.from_iterable(map(table.seen.__getitem__, chunks))))
-                same.append(table.decode(ids[-1]) == (text or "").encode("utf-8", "replace"))
+        for held, texts in together(batches, 1):
+            ids, offsets = Encoded(table, texts).flat()
+            same = [x == (t or "").encode("utf-8", "replace") for x, t in zip(table.decode_all(ids, offsets), texts)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "same"])
+                _column(held, 0), _lists(ids, offsets), pa.array(np.diff(offsets)), pa.array(same, pa.bool_())],
+                names=["doc_id", "ids", "n_tokens", "same"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, same boolean")
 
@@ -270,16 +424,11 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, *, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(path, pattern)
-        digest: Callable[[bytes], str] = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            n, said, back = [], [], []
-            for chunks in table.encode_batch(batch.column(1).to_pylist()):
-                ids = list(chain.from_iterable(map(table.seen.__getitem__, chunks)))
-                n.append(len(ids))
-                said.append(digest(",".join(map(table.said.__getitem__, chunks)).encode()))
-                back.append(digest(table.decode(ids)))
+        for held, texts in together(batches, 1):
+            ids, offsets = Encoded(table, texts).flat()
+            said, back = ([hashlib.sha256(x).hexdigest() for x in side(ids, offsets)] for side in (table.decimal, table.decode_all))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())],
+                _column(held, 0), pa.array(np.diff(offsets)), pa.array(said, pa.string()), pa.array(back, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(

@@ -1,9 +1,10 @@
 """Edit-aware token counts: a segment tree of pre-token counts per document.
 
 A document's leaves are chunks between white space, whose tokens do not depend on what is around them. Two
-trees over the leaves hold characters and tokens. An edit finds its leaves by descending the tree of
-characters, re-encodes only their text (the leaf before the edit included, as its last word may go on), puts
-the result in the first of them, empties the others and updates the sums on the paths to the root.
+trees over the leaves hold characters and tokens. An edit finds its chunks by descending the tree of
+characters, re-encodes only their text (the chunk before the edit included, as its last word may go on), puts
+the new chunks in their leaves and updates the sums on the paths to the root. Once a leaf has more than a few
+chunks the tree is built anew from the counts it has; nothing is encoded for that.
 
 Defined cases: null texts count as empty; a document without edits keeps its counts; edits apply in order,
 each to the text that the ones before left; places beyond the text are moved to its end, an end before its
@@ -19,67 +20,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BytePairs, load
+from .bpe import Encoded, load, together
 from .common import pick, small_batches
 
+#: Chunks of a leaf before the tree is built anew.
+PILE = 8
+
 
 class CountTree:
-    """Sums of characters and tokens over the leaves of one text."""
+    """Sums of characters and tokens over the chunks of one text."""
+
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray):
+        self.text, self.encoded = text, 0
+        self._build(chars, tokens)
 
-    def __init__(self, text: str, chunks: list[str], table: BytePairs):
-        self.text, self.table = text, table
-        self.size = 1 << max(len(chunks) - 1, 0).bit_length()
+    def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        """One chunk a leaf, and the sums above them."""
+        self.size = 1 << max(len(chars) - 1, 0).bit_length()
         self.chars, self.tokens = (np.zeros(2 * self.size, np.int64) for _ in range(2))
-        self.chars[self.size:self.size + len(chunks)] = [len(c) for c in chunks]
-        self.tokens[self.size:self.size + len(chunks)] = [len(table.seen[c]) for c in chunks]
-        for tree in (self.chars, self.tokens):
+        for tree, values in ((self.chars, chars), (self.tokens, tokens)):
+            tree[self.size:self.size + len(values)] = values
             half = self.size
             while half > 1:
                 tree[half // 2:half] = tree[half:2 * half].reshape(-1, 2).sum(axis=1)
                 half //= 2
-        self.encoded = 0
+        #: Leaves of several chunks, or none: characters and tokens of each chunk.
+        self.piled: dict[int, list[tuple[int, int]]] = {}
 
-    def leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds a character, and the place of its first one."""
+    def _chunks(self, leaf: int) -> list[tuple[int, int]]:
+        return self.piled.get(leaf, [(int(self.chars[leaf]), int(self.tokens[leaf]))])
+
+    def chunk_at(self, place: int) -> tuple[int, int, int, int]:
+        """The leaf that holds a character, which chunk of it, and the places where that chunk begins and ends."""
         node, start = 1, 0
         while node < self.size:
             node *= 2
             if place >= start + self.chars[node]:
                 start += int(self.chars[node])
                 node += 1
-        return node, start
-
-    def _set(self, leaf: int, chars: int, tokens: int) -> None:
-        more = np.array([chars - self.chars[leaf], tokens - self.tokens[leaf]])
+        for k, (n, _) in enumerate(self._chunks(node)):
+            if place < start + n:
+                break
+            start += n
+        return node, k, start, start + n
+
+    def _set(self, leaf: int, chunks: list[tuple[int, int]]) -> None:
+        chars, tokens = (sum(c[k] for c in chunks) for k in (0, 1))
+        more = chars - self.chars[leaf], tokens - self.tokens[leaf]
+        self.piled.pop(leaf, None)
+        if len(chunks) != 1:
+            self.piled[leaf] = chunks
         while leaf:
             self.chars[leaf] += more[0]
             self.tokens[leaf] += more[1]
             leaf //= 2
 
     def touched(self, start: int, end: int, replacement: str) -> str:
-        """Make an edit; the text of the leaves it touches, whose chunks ``settle`` wants next."""
+        """Make an edit; the text of the chunks it touches, the one before it included, whose counts ``settle`` wants next."""
         n = len(self.text)
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        self.first, begin = self.leaf_at(max(start - 1, 0)) if n else (self.size, 0)
-        self.last, last_begin = self.leaf_at(min(end, n - 1)) if n else (self.first, 0)
-        stop = last_begin + int(self.chars[self.last])
+        first, k, begin, _ = self.chunk_at(max(start - 1, 0)) if n else (self.size, 0, 0, 0)
+        last, m, _, stop = self.chunk_at(min(end, n - 1)) if n else (first, 0, 0, 0)
+        self.first, self.last = first, last
+        self.before, self.after = self._chunks(first)[:k], self._chunks(last)[m + 1:]
         region = self.text[begin:start] + replacement + self.text[end:stop]
         self.text = self.text[:start] + replacement + self.text[end:]
         self.encoded += len(region)
         return region
 
-    def settle(self, chars: int, tokens: int) -> None:
-        """Put the touched leaves' new counts in the first of them and empty the others."""
-        self._set(self.first, chars, tokens)
-        for leaf in range(self.first + 1, self.last + 1):
-            if self.chars[leaf]:
-                self._set(leaf, 0, 0)
-
-    def edit(self, start: int, end: int, replacement: str) -> None:
-        region = self.touched(start, end, replacement)
-        chunks = next(self.table.encode_batch([region]))
-        self.settle(len(region), sum(len(self.table.seen[c]) for c in chunks))
+    def settle(self, chars: list[int], tokens: list[int]) -> None:
+        """Put the touched chunks' new counts in their leaves; leaves that hold too many chunks make a new tree."""
+        chunks = [*self.before, *zip(chars, tokens), *self.after]
+        for leaf in range(self.first, self.last):
+            self._set(leaf, chunks[:1])
+            chunks = chunks[1:]
+        self._set(self.last, chunks)
+        if len(chunks) > PILE:
+            every = np.array([c for leaf in range(self.size, 2 * self.size) for c in self._chunks(leaf) if c[0]], np.int64)
+            self._build(*every.reshape(-1, 2).T)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -96,21 +115,25 @@ def edit_counts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(path, pattern)
-        for batch in batches:
-            texts, lists = batch.column(1).to_pylist(), [e or [] for e in batch.column(2).to_pylist()]
-            trees, out = [], []
-            for text, chunks in zip(texts, table.encode_batch(texts)):
-                trees.append(CountTree(text or "", chunks, table))
-                out.append([len(chunks), int(trees[-1].tokens[1])])
+
+        def counted(texts):
+            chars, tokens, at = Encoded(table, texts).chunks()
+            return [(chars[a:z], tokens[a:z]) for a, z in zip(at, at[1:])]
+
+        for held, texts in together(batches, 1):
+            ids, lists = ([x for b in held for x in b.column(k).to_pylist()] for k in (0, 2))
+            lists = [e or [] for e in lists]
+            trees = [CountTree(text or "", *counts) for text, counts in zip(texts, counted(texts))]
+            out = [(np.count_nonzero(tree.chars[tree.size:]), int(tree.tokens[1])) for tree in trees]
             # Edits of one document follow each other; the k-th edits of all documents are encoded together.
             for k in range(max(map(len, lists), default=0)):
                 turn = [(tree, edits[k]) for tree, edits in zip(trees, lists) if k < len(edits)]
                 regions = [tree.touched(e["start"] or 0, e["end"] if e["end"] is not None else e["start"] or 0, e["replacement"] or "")
                            for tree, e in turn]
-                for (tree, _), region, chunks in zip(turn, regions, table.encode_batch(regions)):
-                    tree.settle(len(region), sum(len(table.seen[c]) for c in chunks))
+                for (tree, _), (chars, tokens) in zip(turn, counted(regions)):
+                    tree.settle(chars.tolist(), tokens.tolist())
             out = [(doc_id, *before, len(edits), int(tree.tokens[1]), len(tree.text), tree.encoded)
-                   for doc_id, before, edits, tree in zip(batch.column(0).to_pylist(), out, lists, trees)]
+                   for doc_id, before, edits, tree in zip(ids, out, lists, trees)]
             columns = list(zip(*out)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[
                 "doc_id", "n_leaves", "n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "n_chars_encoded"])

@@ -337,3 +337,21 @@ def test_examples_with_one_opening_line(spark):
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score(table(spark, [(1, "a")]), none).collect()] == [0.0]
+
+
+def test_edits_at_a_moving_cursor_encode_in_proportion(tiktoken_encoding):
+    pairs, rng = bpe.load(*_vocabulary()), random.Random(12)
+
+    def counted(text):
+        chars, tokens, _ = bpe.Encoded(pairs, [text]).chunks()
+        return chars.tolist(), tokens.tolist()
+
+    encoded = []
+    for edits in (200, 400):
+        tree = tokencounts.CountTree("some words " * 20, *bpe.Encoded(pairs, ["some words " * 20]).chunks()[:2])
+        for k in range(edits):
+            at = 50 + 5 * k
+            tree.settle(*counted(tree.touched(at, at, rng.choice(["abcd ", " é'll", "12 a,"]))))
+        assert tree.tokens[1] == len(tiktoken_encoding.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
+        encoded.append(tree.encoded)
+    assert encoded[1] < 2.3 * encoded[0]
