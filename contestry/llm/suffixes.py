@@ -1,20 +1,24 @@
 """Exact substring dedup over suffix order: column-wise multi-document construction per bucket.
 
 Every string of the matching length contains an anchor: the place of the smallest hash of its short windows,
-which depends on its bytes alone. So equal strings always meet under one anchor hash. Three steps:
-
-1. Anchors. A worker finds the anchors of a chunk of documents. Those in two documents of the chunk are shared;
-   of the others four hash bytes and an ordinal go, packed by bucket, to be compared across chunks. An anchor
-   goes once per chunk, however many documents of the chunk hold it.
-2. Strings. Around each shared anchor the bytes of the matching strings it stands for are cut out. Equal cuts
-   are one row with the smallest doc_id. Cuts under very common anchors are dealt by their matching strings.
+which depends on its bytes alone. So equal strings always meet under one anchor hash. The bytes of the strings
+in a row that share an anchor are a cut. Three steps:
+
+1. Anchors. A worker finds the anchors of a chunk of documents. Of each, some bytes of its hash and of its cut's
+   hash go to a bucket with the doc_id and an ordinal. Where a smaller document has the same cut, the whole cut is
+   a repeat. Where an anchor has different cuts in different documents, one of each is asked for. An anchor goes
+   once per chunk if the chunk itself has different cuts of it, and equal cuts go once, so no anchor fills a bucket.
+2. Cuts. The bytes of the cuts asked for, a small part of the text, are dealt by anchor. Anchors with very many
+   cuts are dealt by a longer core instead: half of the strings of a cut have the bytes left of the anchor in
+   common, the others those on its right. Of a core that is still very common, each string is a cut of its own.
 3. Suffix order. In each bucket the Burrows-Wheeler transform of the cuts is built by inserting one symbol of
-   every cut a round, from the last on, through a sequential file per round. Its order gives the common prefixes
-   of neighbouring suffixes; those with a long enough one hold the same string.
+   every cut a round, from the last on. Transform and common prefixes are read from and written to sequential
+   files in every round, and so are the symbols. Neighbours with long enough common prefixes hold the same string.
 
-Hashes only choose what meets; equality is of bytes. Defined cases: a null text has no bytes, texts shorter
-than the length lose nothing. Rows of one doc_id never remove bytes of each other; of documents with null
-identifiers nothing is removed and nothing is kept for their sake. Repeated rows give a row each.
+That anchors and whole cuts are the same is decided by 64 and 48 bits of hash together; between different cuts
+bytes decide. Defined cases: a null text has no bytes, texts shorter than the length lose nothing. Rows of one
+doc_id never remove bytes of each other; of documents with null identifiers nothing is removed and nothing is kept
+for their sake. Repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -31,15 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, pick, small_batches
+from .bpe import _expand
+from .common import cut, giving_back, maybe_broadcast, pick, small_batches
 
 #: Bytes of a match, bytes of an anchor.
 LENGTH, ANCHOR = 50, 20
-#: Anchors of a chunk, of a bucket that compares them, cuts of a construction bucket, cuts of one anchor from
-#: which it is dealt by its strings.
-CHUNK_ANCHORS, BUCKET_ANCHORS, BUCKET_CUTS, COMMON_CUTS = 1_500_000, 60_000, 4_000, 2_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_NOT_OWN = np.uint32(0xFFFFFFFF)
+#: Anchors of a chunk, of a bucket that compares them, cuts of a construction bucket, cuts of one key from which
+#: it is dealt by longer ones.
+CHUNK_ANCHORS, BUCKET_ANCHORS, BUCKET_CUTS, COMMON_CUTS = 1_500_000, 250_000, 4_000, 2_000
+#: Bytes whose anchors are found at once; longer texts are taken in pieces.
+_BLOCK = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_NOT_OWN, _NOBODY = np.uint32(0xFFFFFFFF), np.iinfo(np.int64).min
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -48,248 +55,318 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first start and number of starts of the runs of matching-length strings that share an anchor."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    b = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    # Hashes of all windows of the anchor's size, by doubling: h(2k) = h(k) * B^k + h(k) moved by k.
-    h, have, power, want, out, done = b, 1, _BASE, anchor, None, 0
+def _windows(b: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of the anchor's size, by doubling: h(2k) = h(k) * B^k + h(k) moved by k."""
+    h, have, power, want, out, done = b.astype(np.uint64) + np.uint64(1), 1, _BASE, ANCHOR, None, 0
     while want:
         if want & 1:
-            out = h if out is None else out[:len(out) - have] * power + h[done:done + len(out) - have]
+            out = h if out is None else out[:len(out) - have] * np.uint64(power) + h[done:done + len(out) - have]
             done += have
         want >>= 1
         if want:
-            h = h[:len(h) - have] * power + h[have:]
-            have, power = 2 * have, np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
-    # The low bits carry the place, so that the leftmost of equal hashes is the smallest.
-    m = _mix(out)
-    w = length - anchor + 1
-    key = m & ~np.uint64(0xFFFF)
-    least = key.copy()
-    span = 1
-    while span < w:
-        step = min(span, w - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
-    # Place of the leftmost minimum of each window: the first place at or after its start with that key.
-    at = np.empty(n, np.int64)
-    at.fill(-1)
-    todo = np.arange(n)
-    candidates = np.flatnonzero(_is_leftmost(key, least, w))
-    index = np.searchsorted(candidates, todo)
-    while len(todo):
-        c = candidates[index]
-        right = key[c] == least[todo]
-        at[todo[right]] = c[right]
-        todo, index = todo[~right], index[~right] + 1
-    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    size = np.diff(np.concatenate([begin, [n]]))
-    return m[at[begin]], begin, size
-
-
-def _is_leftmost(key: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
-    """Places that are the minimum of some window of w that begins at most w - 1 before them."""
-    # The largest of the window minima over the windows that cover a place.
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    span, most = 1, padded
-    while span < w:
-        step = min(span, w - span)
-        most = np.maximum(most[:-step], most[step:])
-        span += step
-    return key <= most[:len(key)]
+            h = h[:len(h) - have] * np.uint64(power) + h[have:]
+            have, power = 2 * have, power**2 & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+class Anchors:
+    """Of texts, one after another: anchor hash, cut hash, first start, starts, anchor's place, and anchors per text."""
+
+    def __init__(self, texts: list[bytes]):
+        parts: list[tuple] = []
+        held, room, count = [], 0, np.zeros(len(texts), np.int64)
+        for k, data in enumerate(texts):
+            # A piece has the strings that start in a block.
+            for at in range(0, len(data) - LENGTH + 1, _BLOCK):
+                piece = data[at:at + _BLOCK + LENGTH - 1]
+                held.append((k, at, piece))
+                room += len(piece)
+                if room > _BLOCK:
+                    parts.append(self._block(held, count))
+                    held, room = [], 0
+        if held:
+            parts.append(self._block(held, count))
+        none = [np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        self.hash, self.cut, self.begin, self.starts, self.place = (np.concatenate(x) for x in (zip(*parts) if parts else zip(none)))
+        self.count = count
+
+    @staticmethod
+    def _block(held: list[tuple[int, int, bytes]], count: np.ndarray) -> tuple[np.ndarray, ...]:
+        size = np.array([len(x[2]) for x in held])
+        first = np.cumsum(size) - size
+        h = _windows(np.frombuffer(b"".join(x[2] for x in held), np.uint8))
+        m = _mix(h)
+        # The low bits carry the place, so that the leftmost of equal hashes is the smallest.
+        low = np.uint64((1 << 20) - 1)
+        least = (m & ~low) | np.arange(len(m), dtype=np.uint64)
+        span, w = 1, LENGTH - ANCHOR + 1
+        while span < w:
+            step = min(span, w - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        starts = size - LENGTH + 1
+        start, owner = _expand(first, starts), np.repeat(np.arange(len(held)), starts)
+        at = (least[start] & low).astype(np.int64)
+        new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])))
+        n, begin, place, owner = np.diff(np.append(new, len(at))), start[new], at[new], owner[new]
+        end = begin + n + LENGTH - 1
+        # Five windows cover a cut of any length.
+        c = _mix(h[begin] + n.astype(np.uint64))
+        for other in (begin + 20, begin + 30, end - 40, end - 20):
+            c = _mix(c * np.uint64(_BASE) + h[other])
+        np.add.at(count, [x[0] for x in held], np.bincount(owner, minlength=len(held)))
+        back = (np.array([x[1] for x in held]) - first)[owner]
+        return m[place], c, begin + back, n, place + back
+
+
+def _told(x: np.ndarray) -> bytes:
+    """Byte planes of a column, so that those of zeros alone compress to nothing."""
+    return x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _heard(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _compared(h: np.ndarray, c: np.ndarray, doc: np.ndarray):
+    """Entries whose anchor is there several times, in order of anchor, cut, doc_id; of each: whether a smaller
+    document has its cut, whether its anchor has other cuts in other documents, and whether it is its anchor's first."""
+    o = np.argsort(h, kind="stable")
+    same = h[o][1:] == h[o][:-1]
+    o = o[np.append(same, False) | np.append(False, same)] if len(o) else o
+    o = o[np.lexsort((doc[o], c[o], h[o]))]
+    if not len(o):
+        return o, np.empty(0, bool), np.empty(0, bool), np.empty(0, bool)
+    new_h = np.append(True, h[o][1:] != h[o][:-1])
+    new_c = new_h | np.append(True, c[o][1:] != c[o][:-1])
+    at_h, at_c = np.flatnonzero(new_h), np.flatnonzero(new_c)
+    d = doc[o]
+    repeat = d > np.repeat(d[at_c], np.diff(np.append(at_c, len(o))))
+    several = (np.add.reduceat(new_c.astype(np.int64), at_h) > 1) & (np.minimum.reduceat(d, at_h) < np.maximum.reduceat(d, at_h))
+    return o, repeat, np.repeat(several, np.diff(np.append(at_h, len(o)))), new_h
 
 
 def _scan(buckets: int):
-    """Rows of two kinds: a chunk's documents with the anchors shared inside it, and its other anchors by bucket."""
+    """Rows of two kinds: a chunk's documents with what it knows by itself, and its anchors by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: list[tuple] = []
 
         def flush():
-            h = np.concatenate([x[2] for x in held])
-            owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
-            start = np.cumsum([0, *(len(x[2]) for x in held)])[:-1]
-            order = np.argsort(h, kind="stable")
-            hs, os_ = h[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-            low, high = np.minimum.reduceat(os_, first), np.maximum.reduceat(os_, first)
-            shared = low < high
-            inside = np.repeat(shared, np.diff(np.concatenate([first, [len(hs)]])))
-            own = np.where(inside, _NOT_OWN, order.astype(np.uint32))
-            # All places of an anchor within its one document go as separate ordinals; a shared one goes once.
-            send = ~inside
-            send[first] = True
-            hs, own = hs[send], own[send]
-            bucket = (hs >> np.uint64(32)) % np.uint64(buckets)
+            ids, of, count, h, c = (np.concatenate(x) for x in zip(*held))
+            # In order of doc_id, so that the doc_ids of a bucket differ little.
+            o = np.argsort(ids, kind="stable")
+            entries = _expand((np.cumsum(count) - count)[o], count[o])
+            ids, of, count, h, c = ids[o], of[o], count[o], h[entries], c[entries] >> np.uint64(16)
+            doc = np.repeat(ids, count)
+            o, repeat, several, first = _compared(h, c, doc)
+            covered, asked = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            covered[o] = repeat
+            asked[o] = several & ~repeat
+            mark = o[first & several]
+            send = np.flatnonzero(~covered & ~asked)
+            own = np.append(send, np.full(len(mark), _NOT_OWN)).astype(np.uint32)
+            send, c = np.append(send, mark), np.append(c[send], np.zeros(len(mark), np.uint64))
+            doc = np.append(doc[send[:len(send) - len(mark)]], np.full(len(mark), _NOBODY))
+            bucket = (h[send] >> np.uint64(32)) % np.uint64(buckets)
             o = np.argsort(bucket, kind="stable")
-            bucket, rest, own = bucket[o], (hs[o] & np.uint64(0xFFFFFFFF)).astype(np.uint32), own[o]
-            chunk = xxhash.xxh3_64_intdigest(repr([(x[0], x[1]) for x in held]).encode()) >> 1
+            bucket, rest, c, doc, own = bucket[o], h[send[o]].astype(np.uint32), c[o], doc[o], own[o]
+            chunk = xxhash.xxh3_64_intdigest(ids.tobytes() + of.tobytes()) >> 1
             cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-            ends = [*cuts[1:], len(bucket)]
-            local = np.sort(order[inside]).astype(np.uint32)
-            documents = np.rec.fromarrays([[x[0] for x in held], [x[1] for x in held], start], dtype="i8,i8,i8")
-            return pa.RecordBatch.from_arrays([
-                pa.array([int(bucket[a]) for a in cuts] + [-1 - chunk % buckets], pa.int64()),
-                pa.array([chunk] * (len(cuts) + 1), pa.int64()),
-                pa.array([rest[a:z].tobytes() for a, z in zip(cuts, ends)] + [documents.tobytes()], pa.binary()),
-                pa.array([own[a:z].tobytes() for a, z in zip(cuts, ends)] + [local.tobytes()], pa.binary())],
-                names=["bucket", "chunk", "hashes", "own"])
-
-        count = 0
+            rows = [(int(bucket[a]), chunk, rest[a:z].tobytes(), _told(c[a:z])[:6 * (z - a)], _told(np.diff(doc[a:z], prepend=0)),
+                     _told(np.diff(own[a:z], prepend=np.uint32(0)))) for a, z in zip(cuts, [*cuts[1:], len(bucket)])]
+            documents = np.rec.fromarrays([ids, of, np.cumsum(count) - count], dtype="i8,i8,i8")
+            rows.append((-1 - chunk % buckets, chunk, documents.tobytes(), *(np.flatnonzero(x).astype(np.uint32).tobytes() for x in (covered, asked)), b""))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 4)],
+                                              names=["bucket", "chunk", "a", "b", "c", "d"])
+
+        n = 0
         for batch in batches:
-            for doc_id, of, text in zip(*(c.to_pylist() for c in batch.columns)):
-                h = anchors(text.encode("utf-8", "replace"))[0]
-                if len(h):
-                    held.append((doc_id, of, h))
-                    count += len(h)
-                if count > CHUNK_ANCHORS:
-                    yield flush()
-                    held, count = [], 0
-        if held:
+            found = Anchors([t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()])
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), found.count, found.hash, found.cut))
+            n += len(found.hash)
+            if n > CHUNK_ANCHORS:
+                yield flush()
+                held, n = [], 0
+        if n:
             yield flush()
 
     return run
 
 
+_FOUND = "chunk long, documents binary, covered binary, asked binary"
+
+
 def _compare(key, table):
-    """Of a bucket's anchors those that two chunks hold, as ordinals of their chunks; documents' rows pass."""
-    chunks, hashes, own = (table.column(c).to_pylist() for c in ("chunk", "hashes", "own"))
+    """Of a bucket's anchors, by chunk, those whose cut a smaller document has and those asked for; documents' rows pass."""
+    chunks = table.column("chunk").to_pylist()
     if key[0].as_py() < 0:
-        return pa.table({"chunk": table.column("chunk"), "documents": table.column("hashes"), "ordinals": table.column("own")})
-    h = np.concatenate([np.frombuffer(x, np.uint32) for x in hashes])
-    o = np.concatenate([np.frombuffer(x, np.uint32) for x in own])
-    c = np.repeat(np.arange(len(chunks)), [len(x) // 4 for x in hashes])
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-    several = np.minimum.reduceat(c[order], first) < np.maximum.reduceat(c[order], first)
-    hit = np.zeros(len(h), bool)
-    hit[order] = np.repeat(several, np.diff(np.concatenate([first, [len(h)]])))
-    hit &= o != _NOT_OWN
-    found = [(chunks[k], o[hit & (c == k)]) for k in np.unique(c[hit])]
-    return pa.table({"chunk": pa.array([x[0] for x in found], pa.int64()), "documents": pa.nulls(len(found), pa.binary()),
-                     "ordinals": pa.array([x[1].tobytes() for x in found], pa.binary())})
+        return table.select(["chunk", "a", "b", "c"]).rename_columns(["chunk", "documents", "covered", "asked"])
+    a, b, c, d = (table.column(x).to_pylist() for x in "abcd")
+    size = [len(x) // 4 for x in a]
+    rest = np.concatenate([np.frombuffer(x, np.uint32) for x in a])
+    cuts = np.concatenate([_heard(x + bytes(2 * n), np.uint64) for x, n in zip(b, size)])
+    doc = np.concatenate([np.cumsum(_heard(x, np.int64)) for x in c])
+    own = np.concatenate([np.cumsum(_heard(x, np.uint32), dtype=np.uint32) for x in d])
+    o, repeat, several, _ = _compared(rest, cuts, doc)
+    chunk, own = np.repeat(np.arange(len(chunks)), size)[o], own[o]
+    mine = own != _NOT_OWN
+    rows = []
+    for k in np.unique(chunk[mine & (repeat | several)]):
+        here = mine & (chunk == k)
+        rows.append((chunks[k], None, own[here & repeat].tobytes(), own[here & several & ~repeat].tobytes()))
+    return pa.table({f: pa.array(x, t) for f, x, t in zip(["chunk", "documents", "covered", "asked"], list(zip(*rows)) or [[]] * 4,
+                                                          [pa.int64()] + [pa.binary()] * 3)})
 
 
 def _by_document(key, table):
-    """A chunk's shared ordinals, per document and counted from its first anchor."""
+    """A chunk's ordinals, per document and counted from its first anchor."""
     documents = next((x for x in table.column("documents").to_pylist() if x), b"")
     d = np.frombuffer(documents, "i8,i8,i8")
-    o = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("ordinals").to_pylist()])).astype(np.int64)
-    cutting = np.searchsorted(o, d["f2"])
-    ends = [*cutting[1:], len(o)]
-    rows = [(int(d["f0"][k]), int(d["f1"][k]), (o[a:z] - d["f2"][k]).astype(np.uint32).tobytes())
-            for k, (a, z) in enumerate(zip(cutting, ends)) if z > a]
-    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "of": pa.array([r[1] for r in rows], pa.int64()),
-                     "ordinals": pa.array([r[2] for r in rows], pa.binary())})
+    sides = []
+    for name in ("covered", "asked"):
+        o = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(name).to_pylist()])).astype(np.int64)
+        edges = np.append(np.searchsorted(o, d["f2"]), len(o))
+        sides.append([(o[a:z] - s).astype(np.uint32).tobytes() for a, z, s in zip(edges, edges[1:], d["f2"])])
+    rows = [(int(x["f0"]), int(x["f1"]), *found) for x, *found in zip(d, *sides) if any(found)]
+    return pa.table({f: pa.array(x, t) for f, x, t in zip(["doc_id", "of", "covered", "asked"], list(zip(*rows)) or [[]] * 4,
+                                                          [pa.int64()] * 2 + [pa.binary()] * 2)})
 
 
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of covered cuts, with a null key, and the cuts asked for."""
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, of, text, ordinals in zip(*(c.to_pylist() for c in batch.columns)):
-            data = text.encode("utf-8", "replace")
-            h, begin, size = anchors(data)
-            # One document may come in several chunks of equal rows, so ordinals may repeat.
-            for k in np.unique(np.frombuffer(ordinals, np.uint32)).tolist():
-                a = int(begin[k])
-                out.append((int(h[k].view(np.int64)), data[a:a + int(size[k]) + LENGTH - 1], doc_id, of, a))
-        columns = list(zip(*out)) or [[]] * 5
+        ids, ofs, texts, *lists = (c.to_pylist() for c in batch.columns)
+        texts = [t.encode("utf-8", "replace") for t in texts]
+        found = Anchors(texts)
+        base = np.cumsum(found.count) - found.count
+        for k, (doc_id, of, data, covered, asked) in enumerate(zip(ids, ofs, texts, *lists)):
+            at = base[k] + np.frombuffer(covered, np.uint32).astype(np.int64)
+            s, e = found.begin[at], found.begin[at] + found.starts[at] + LENGTH - 1
+            edge = np.flatnonzero(np.append(True, s[1:] > e[:-1])) if len(s) else np.empty(0, np.int64)
+            for a, z in zip(s[edge].tolist(), e[np.append(edge[1:] - 1, len(e) - 1)[:len(edge)]].tolist()):
+                out.append((None, None, None, doc_id, of, a, z))
+            at = base[k] + np.frombuffer(asked, np.uint32).astype(np.int64)
+            for h, a, n, p in zip(found.hash[at].view(np.int64).tolist(), found.begin[at].tolist(), found.starts[at].tolist(), found.place[at].tolist()):
+                out.append((h, data[a:a + n + LENGTH - 1], p - a, doc_id, of, a, None))
+        columns = list(zip(*out)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()])],
-            names=["anchor", "bytes", "doc_id", "of", "at"])
+            columns, [pa.int64(), pa.binary(), pa.int32()] + [pa.int64()] * 4)],
+            names=["key", "bytes", "p", "doc_id", "of", "s", "e"])
 
 
 def suffix_order(strings: list[bytes], length: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of at least the given length in order: string, offset, common prefix with the one before (capped).
+    """Suffixes of at least the given length: string, offset, and a number that those share that begin with the same
+    string of that length, in suffix order.
 
     Symbols are bytes plus one; the end of a string is 0 and sorts by the string's number. Every round reads the
-    transform from ``folder`` in sequence and writes the next one, a byte per suffix. The finished transform gives
-    each suffix its place by walking back from the ends, and neighbours their common prefixes.
+    transform and the common prefixes from ``folder`` in sequence, inserts a symbol of every string with the common
+    prefixes that it changes, and writes both again. What precedes a suffix cX in order is cY for the last Y before
+    X that c precedes, and their common prefix is one longer than the least one between Y and X.
     """
     m, n = len(strings), np.array([len(s) for s in strings])
     width = int(n.max())
-    text = np.zeros((m, width + length), np.uint8)
-    text[np.arange(width + length) < n[:, None]] = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
+    column = f"{folder}/symbols"
+    right = np.zeros((m, width + 1), np.uint8)
+    right[np.arange(width + 1) >= (width + 1 - n)[:, None]] = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
+    np.ascontiguousarray(right[:, ::-1].T).tofile(column)
+    del right
     pos, last = np.arange(m), ""
-    bwt = text[np.arange(m), n - 1]
-    for r in range(1, width + 1):
-        active = np.flatnonzero(n >= r)
-        # Ends of strings stand first, then each suffix where the transform's symbols send it.
-        place = m + _sent(bwt)[pos[active]]
-        new = np.zeros(len(bwt) + len(active), bool)
-        new[place] = True
-        out = np.empty(len(new), np.uint8)
-        out[~new] = bwt
-        out[place] = np.where(n[active] > r, text[active, np.maximum(n[active] - r - 1, 0)], 0)
-        pos[active] = place
-        # A new file each round: writing over the old one would wait for the disk.
-        path = f"{folder}/bwt{r}"
-        out.tofile(path)
-        if last:
-            os.unlink(last)
-        bwt, last = np.fromfile(path, np.uint8), path
-    walk, at = _sent(bwt), np.arange(m)
-    places = [at]
+    with open(column, "rb") as symbols:
+        bwt, lcp = np.frombuffer(symbols.read(m), np.uint8), np.zeros(m, np.uint8)
+        for r in range(1, width + 1):
+            active = np.flatnonzero(n >= r)
+            order = np.argsort(bwt, kind="stable")
+            rank = np.empty(len(bwt), np.int64)
+            rank[order] = np.arange(len(bwt))
+            ends = int(np.count_nonzero(bwt == 0))
+            p = pos[active]
+            k = rank[p]
+            before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(bwt) - 1)]
+            with_before, with_after = (k > 0) & (bwt[before] == bwt[p]), (k + 1 < len(bwt)) & (bwt[after] == bwt[p])
+            least = _Least(lcp)
+            # Ends of strings stand first, then each suffix where the transform's symbols send it.
+            place = m + k - ends
+            new = np.zeros(len(bwt) + len(active), bool)
+            new[place] = True
+            out, common = np.empty(len(new), np.uint8), np.empty(len(new), np.uint8)
+            out[~new], common[~new] = bwt, lcp
+            out[place] = np.frombuffer(symbols.read(m), np.uint8)[active]
+            common[place] = np.where(with_before, np.minimum(least(before + 1, p) + 1, length), 0)
+            common[place[with_after] + 1] = np.minimum(least(p + 1, after)[with_after] + 1, length)
+            pos[active] = place
+            # A new file each round: writing over the old one would wait for the disk.
+            path = f"{folder}/round{r}"
+            with open(path, "wb") as file:
+                out.tofile(file)
+                common.tofile(file)
+            if last:
+                os.unlink(last)
+            both, last = np.fromfile(path, np.uint8), path
+            bwt, lcp = both[:len(out)], both[len(out):]
+    rank = np.empty(len(bwt), np.int64)
+    rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    walk = m + rank - np.count_nonzero(bwt == 0)
+    at, who, left, where = np.arange(m), [], [], []
     for r in range(1, width + 1):
-        at = np.where(n >= r, m + walk[at], at)
-        places.append(at)
-    whole = [(np.flatnonzero(n >= r), r) for r in range(length, width + 1)]
-    who = np.concatenate([i for i, _ in whole])
-    left = np.concatenate([np.full(len(i), r) for i, r in whole])
-    where = np.concatenate([places[r][i] for i, r in whole])
+        at = np.where(n >= r, walk[at], at)
+        if r >= length:
+            whole = np.flatnonzero(n >= r)
+            who.append(whole)
+            left.append(np.full(len(whole), r))
+            where.append(at[whole])
+    who, left, where = map(np.concatenate, (who, left, where))
     order = np.argsort(where)
-    who, offset = who[order], (n[who] - left)[order]
-    rows = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)[who, offset]
-    prefix = np.zeros(len(who), np.uint8)
-    if len(who) > 1:
-        same = rows[1:] == rows[:-1]
-        prefix[1:] = np.where(same.all(axis=1), length, same.argmin(axis=1))
-    return who, offset, prefix
+    who, left, where = who[order], left[order], where[order]
+    return who, n[who] - left, np.cumsum(lcp < length)[where]
+
+
+class _Least:
+    """Minima of ranges, both ends included, from minima of ranges of powers of two."""
 
+    def __init__(self, values: np.ndarray):
+        self.levels, span = [values], 1
+        while 2 * span <= len(values):
+            self.levels.append(np.minimum(self.levels[-1][:-span], self.levels[-1][span:]))
+            span *= 2
+        self.size = np.array([len(x) for x in self.levels])
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.levels)
 
-def _sent(bwt: np.ndarray) -> np.ndarray:
-    """For each row the place, after the ends, of the suffix that its symbol begins."""
-    rank = np.empty(len(bwt), np.int32)
-    rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
-    return rank - np.int32(np.count_nonzero(bwt == 0))
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        level = np.frexp(np.maximum(high - low + 1, 1).astype(np.float64))[1] - 1
+        first = self.start[level]
+        a, b = np.clip(low, 0, self.size[level] - 1), np.clip(high + 1 - (np.int64(1) << level), 0, self.size[level] - 1)
+        return np.minimum(self.flat[first + a], self.flat[first + b])
 
 
 def _construct(key, table):
-    """For each cut, the smallest doc_id of every matching-length string in it."""
-    strings, least, anchor = table.column("bytes").to_pylist(), table.column("least").to_numpy(), table.column("anchor").to_numpy()
-    starts = np.array([len(s) for s in strings]) - LENGTH + 1
-    ends = np.cumsum(starts)
-    found = np.repeat(least, starts)
-    # The only cut of an anchor, and a string dealt on its own, has no other cut to meet.
-    _, code, number = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero((number[code] > 1) & (anchor != 0))
-    if len(several):
-        with tempfile.TemporaryDirectory() as folder:
-            who, at, prefix = suffix_order([strings[k] for k in several], LENGTH, folder)
-        first = np.flatnonzero(np.concatenate([[True], prefix[1:] < LENGTH]))
-        low = np.repeat(np.minimum.reduceat(least[several][who], first), np.diff(np.concatenate([first, [len(who)]])))
-        found[(ends - starts)[several[who]] + at] = low
-    # Where all strings of a cut begin first in one document, that is said once; where no other document has any
-    # of them there is nothing to say.
-    firsts = [x[:1].tobytes() + b"%d" % len(x) if (x == x[0]).all() else x.tobytes() for x in np.split(found, ends[:-1])]
-    most = table.column("most").to_numpy()
-    useful = pa.array(np.minimum.reduceat(found, ends - starts) < most)
-    return pa.table({"anchor": table.column("anchor"), "cut": table.column("cut"), "firsts": pa.array(firsts, pa.binary())}).filter(useful)
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of a cut that a smaller document has, as runs of starts."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc_id, of, at, firsts in zip(*(c.to_pylist() for c in batch.columns)):
-            first = np.frombuffer(firsts, np.int64) if len(firsts) % 8 == 0 else np.full(int(firsts[8:]), np.frombuffer(firsts[:8], np.int64)[0])
-            bad = np.concatenate([[False], first < doc_id, [False]])
-            edge = np.flatnonzero(bad[1:] != bad[:-1])
-            out += [(doc_id, of, at + int(a), at + int(z) - 1 + LENGTH) for a, z in zip(edge[::2], edge[1::2])]
-        columns = list(zip(*out)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "of", "s", "e"])
+    """Spans of the cuts' strings that a smaller document has too."""
+    keys, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+    _, code = np.unique(keys, return_inverse=True)
+    lo, hi = np.full(len(code), np.iinfo(np.int64).max), np.full(len(code), _NOBODY)
+    np.minimum.at(lo, code, doc)
+    np.maximum.at(hi, code, doc)
+    use = np.flatnonzero(lo[code] < hi[code])
+    out = pa.table({f: pa.array([], pa.int64()) for f in ("doc_id", "of", "s", "e")})
+    if not len(use):
+        return out
+    strings = table.column("bytes").take(pa.array(use)).to_pylist()
+    doc, of, s = doc[use], table.column("of").to_numpy()[use], table.column("s").to_numpy()[use]
+    with tempfile.TemporaryDirectory() as folder:
+        who, at, group = suffix_order(strings, LENGTH, folder)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = np.repeat(np.minimum.reduceat(doc[who], first), np.diff(np.append(first, len(who))))
+    starts = np.array([len(x) for x in strings]) - LENGTH + 1
+    begin = np.cumsum(starts) - starts
+    # A cell after each cut keeps its runs apart from the next one's.
+    bad = np.zeros(int(starts.sum()) + len(starts) + 1, bool)
+    cell = begin + np.arange(len(starts)) + 1
+    bad[cell[who] + at] = least < doc[who]
+    edge = np.flatnonzero(bad[1:] != bad[:-1]) + 1
+    a, z = edge[::2], edge[1::2]
+    k = np.searchsorted(cell, a, "right") - 1
+    return pa.table({"doc_id": doc[k], "of": of[k], "s": s[k] + a - cell[k], "e": s[k] + z - cell[k] + LENGTH - 1})
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +395,37 @@ def _free(spark) -> None:
     spark._jvm.System.gc()
 
 
+def _apart(cuts: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame | None]:
+    """Cuts of ordinary keys and cuts of very common ones, if there are any."""
+    common = cut(cuts.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > COMMON_CUTS).select(key))
+    n = common.count()
+    if not n:
+        return cuts, None
+    hot = maybe_broadcast(common, n)
+    return cuts.join(hot, key, "left_anti"), cuts.join(hot, key, "left_semi")
+
+
+def _halves(cuts: DataFrame) -> DataFrame:
+    """The strings of a cut by what they have in common: the anchor and the bytes right of it, or those left of it."""
+    more, last = (LENGTH - ANCHOR) // 2, F.octet_length("bytes") - LENGTH
+    right = F.struct(F.greatest(F.lit(0), F.col("p") - more).alias("lo"), last.alias("hi"), F.xxhash64(
+        F.lit(0), F.expr(f"substring(bytes, p + 1, {ANCHOR + more})")).alias("key"))
+    left = F.struct(F.lit(0).alias("lo"), F.least(last, F.col("p") - more - 1).alias("hi"), F.xxhash64(
+        F.lit(1), F.expr(f"substring(bytes, p - {more}, {ANCHOR + more + 1})")).alias("key"))
+    parts = cuts.select("bytes", "doc_id", "of", "s", F.explode(F.array(right, left)).alias("x")).where("x.lo <= x.hi")
+    return parts.select(F.col("x.key").alias("key"), F.expr(f"substring(bytes, x.lo + 1, x.hi - x.lo + {LENGTH})").alias("bytes"),
+                        "doc_id", "of", (F.col("s") + F.col("x.lo")).alias("s"))
+
+
+def _string_spans(cuts: DataFrame) -> DataFrame:
+    """Spans of the strings that a smaller document has, for cuts whose strings are told apart one by one."""
+    strings = cuts.select("doc_id", "of", "s", "bytes", F.explode(F.sequence(
+        F.lit(0), F.octet_length("bytes") - LENGTH)).alias("k")).select(
+        "doc_id", "of", (F.col("s") + F.col("k")).alias("s"), F.expr(f"substring(bytes, k + 1, {LENGTH})").alias("string"))
+    least = strings.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return strings.join(least, "string").where("doc_id > least").select("doc_id", "of", "s", (F.col("s") + LENGTH).alias("e"))
+
+
 def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed), of (hash of the text)."""
     spark = docs.sparkSession
@@ -327,36 +435,28 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     total = long.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(1, round(total * 2 / (LENGTH - ANCHOR + 2) / BUCKET_ANCHORS))
     packed = long.select("doc_id", "of", "text").mapInArrow(
-        _scan(buckets), "bucket long, chunk long, hashes binary, own binary")
-    shared = cut(packed.groupBy("bucket").applyInArrow(_compare, "chunk long, documents binary, ordinals binary"))
-    marked = cut(shared.groupBy("chunk").applyInArrow(_by_document, "doc_id long, of long, ordinals binary"))
-    _free(spark)
-    places = cut(long.join(maybe_broadcast(marked, marked.count(), 50_000), ["doc_id", "of"]).select(
-        "doc_id", "of", "text", "ordinals").mapInArrow(_cuts, "anchor long, bytes binary, doc_id long, of long, at long"))
+        giving_back(_scan(buckets)), "bucket long, chunk long, a binary, b binary, c binary, d binary")
+    found = cut(packed.groupBy("bucket").applyInArrow(_compare, _FOUND))
     _free(spark)
-    # Cuts of very common anchors are dealt by their strings instead: each string of the length is a cut itself.
-    common = cut(places.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > COMMON_CUTS).select("anchor"))
-    n_common = common.count()
-    if n_common:
-        hot = maybe_broadcast(common, n_common)
-        places = places.join(hot, "anchor", "left_anti").select("anchor", "bytes", "doc_id", "of", "at").unionByName(
-            places.join(hot, "anchor").select("*", F.explode(F.sequence(
-                F.lit(0), F.octet_length("bytes") - LENGTH)).alias("k")).select(
-                F.lit(0).cast("long").alias("anchor"), F.expr(f"substring(bytes, k + 1, {LENGTH})").alias("bytes"), "doc_id", "of",
-                (F.col("at") + F.col("k")).alias("at")))
-    distinct = cut(places.groupBy("anchor", "bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+    marked = cut(found.groupBy("chunk").applyInArrow(_by_document, "doc_id long, of long, covered binary, asked binary"))
     _free(spark)
-    groups = max(1, distinct.count() // BUCKET_CUTS)
-    cut_hash = F.xxhash64("bytes")
-    by = F.when(F.col("anchor") == 0, cut_hash).otherwise(F.col("anchor"))
-    firsts = cut(distinct.select("anchor", cut_hash.alias("cut"), "bytes", "least", "most", F.pmod(F.xxhash64(by), F.lit(groups)).alias(
-        "bucket")).groupBy("bucket").applyInArrow(_construct, "anchor long, cut long, firsts binary"))
+    places = cut(long.join(marked, ["doc_id", "of"]).select("doc_id", "of", "text", "covered", "asked").mapInArrow(
+        giving_back(_cuts), "key long, bytes binary, p int, doc_id long, of long, s long, e long"))
     _free(spark)
-    # A cut is named by its anchor's and its own hash, 128 bits, so that its bytes need not come along again.
-    spans = cut(places.select("anchor", cut_hash.alias("cut"), "doc_id", "of", "at").join(firsts, ["anchor", "cut"]).select(
-        "doc_id", "of", "at", "firsts").mapInArrow(_spans, "doc_id long, of long, s long, e long"))
+    asked = places.where("key is not null").select("key", "bytes", "p", "doc_id", "of", "s")
+    ordinary, common = _apart(asked)
+    dealt = ordinary.drop("p")
+    spans = places.where("key is null").select("doc_id", "of", "s", "e")
+    if common is not None:
+        halves, strings = _apart(cut(_halves(common)))
+        dealt = dealt.unionByName(halves)
+        if strings is not None:
+            spans = spans.unionByName(_string_spans(strings))
+    groups = max(1, asked.count() // BUCKET_CUTS)
+    order = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("bucket")
+    spans = cut(spans.unionByName(order.applyInArrow(_construct, "doc_id long, of long, s long, e long")))
     _free(spark)
-    # Touching runs of starts of neighbouring cuts are collected per document, which has few of them.
+    # A document has few spans, as runs of starts are one.
     per_doc = spans.groupBy("doc_id", "of").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return docs.join(per_doc, ["doc_id", "of"], "left").select("doc_id", "of", "text", "spans").mapInArrow(
         _removed, "doc_id long, of long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "

@@ -202,12 +202,16 @@ def removed_bytes(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("common,chunk", [(2_000, 1_500_000), (2, 400)])
-def test_repeated_bytes(spark, monkeypatch, common, chunk):
+@pytest.mark.parametrize("common,chunk,block", [(2_000, 1_500_000, 1 << 18), (2, 400, 1 << 18), (1, 100, 300)])
+def test_repeated_bytes(spark, monkeypatch, common, chunk, block):
+    monkeypatch.setattr(suffixes, "_BLOCK", block)
+    monkeypatch.setattr(suffixes, "BUCKET_ANCHORS", 700)
     monkeypatch.setattr(suffixes, "COMMON_CUTS", common)
     monkeypatch.setattr(suffixes, "CHUNK_ANCHORS", chunk)
     monkeypatch.setattr(suffixes, "BUCKET_CUTS", 40)
     rows = corpus(7)
+    # One line in every other document, with something else around it each time.
+    rows += [(200 + k, f"{k * 7919} a line that very many documents have, word for word the same in them {k * 104729}") for k in range(60)]
     docs = table(spark, rows).repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(docs).collect()}
     assert got == removed_bytes(rows)
@@ -217,10 +221,10 @@ def test_suffix_order(tmp_path):
     rng = random.Random(8)
     for _ in range(20):
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 30))) for _ in range(25)] + [b"a" * 14]
-        who, at, prefix = suffixes.suffix_order(strings, 5, str(tmp_path))
+        who, at, group = suffixes.suffix_order(strings, 5, str(tmp_path))
         want = sorted((s[k:], i, k) for i, s in enumerate(strings) for k in range(len(s) - 4))
-        assert [(s[:5]) for s, _, _ in want] == [strings[i][k:k + 5] for i, k in zip(who, at)]
-        assert all((prefix[j] >= 5) == (want[j][0][:5] == want[j - 1][0][:5]) for j in range(1, len(want)))
+        assert [(i, k) for _, i, k in want] == list(zip(who, at))
+        assert all((group[j] == group[j - 1]) == (want[j][0][:5] == want[j - 1][0][:5]) for j in range(1, len(want)))
 
 
 def test_passages(spark):
