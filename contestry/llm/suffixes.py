@@ -8,8 +8,9 @@ in a row that share an anchor are a cut. Three steps:
    hash go to a bucket with the doc_id and an ordinal. Where a smaller document has the same cut, the whole cut is
    a repeat. Where an anchor has different cuts in different documents, one of each is asked for. An anchor goes
    once per chunk if the chunk itself has different cuts of it, and equal cuts go once, so no anchor fills a bucket.
-2. Cuts. The bytes of the cuts asked for, a small part of the text, are dealt by anchor. Anchors with very many
-   cuts are dealt by a longer core instead: half of the strings of a cut have the bytes left of the anchor in
+2. Cuts. The bytes of the cuts asked for, a small part of the text, are dealt by anchor. Cuts of an anchor that has
+   very many are first dealt in random blocks, whose suffix order takes away what a smaller document of the block
+   has. What is left is dealt by a longer core: half of the strings of a cut have the bytes left of the anchor in
    common, the others those on its right. Of a core that is still very common, each string is a cut of its own.
 3. Suffix order. In each bucket the Burrows-Wheeler transform of the cuts is built by inserting one symbol of
    every cut a round, from the last on. Transform and common prefixes are read from and written to sequential
@@ -340,33 +341,52 @@ class _Least:
         return np.minimum(self.flat[first + a], self.flat[first + b])
 
 
-def _construct(key, table):
-    """Spans of the cuts' strings that a smaller document has too."""
-    keys, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
-    _, code = np.unique(keys, return_inverse=True)
-    lo, hi = np.full(len(code), np.iinfo(np.int64).max), np.full(len(code), _NOBODY)
-    np.minimum.at(lo, code, doc)
-    np.maximum.at(hi, code, doc)
-    use = np.flatnonzero(lo[code] < hi[code])
-    out = pa.table({f: pa.array([], pa.int64()) for f in ("doc_id", "of", "s", "e")})
-    if not len(use):
-        return out
-    strings = table.column("bytes").take(pa.array(use)).to_pylist()
-    doc, of, s = doc[use], table.column("of").to_numpy()[use], table.column("s").to_numpy()[use]
-    with tempfile.TemporaryDirectory() as folder:
-        who, at, group = suffix_order(strings, LENGTH, folder)
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    least = np.repeat(np.minimum.reduceat(doc[who], first), np.diff(np.append(first, len(who))))
-    starts = np.array([len(x) for x in strings]) - LENGTH + 1
-    begin = np.cumsum(starts) - starts
-    # A cell after each cut keeps its runs apart from the next one's.
-    bad = np.zeros(int(starts.sum()) + len(starts) + 1, bool)
-    cell = begin + np.arange(len(starts)) + 1
-    bad[cell[who] + at] = least < doc[who]
-    edge = np.flatnonzero(bad[1:] != bad[:-1]) + 1
-    a, z = edge[::2], edge[1::2]
-    k = np.searchsorted(cell, a, "right") - 1
-    return pa.table({"doc_id": doc[k], "of": of[k], "s": s[k] + a - cell[k], "e": s[k] + z - cell[k] + LENGTH - 1})
+_PLACE = "key long, bytes binary, p int, doc_id long, of long, s long, e long"
+
+
+def _construct(again: bool):
+    """Spans of the cuts' strings that a smaller document has too; if some go ``again``, the other strings as cuts."""
+    def run(table):
+        keys, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+        _, code = np.unique(keys, return_inverse=True)
+        lo, hi = np.full(len(code), np.iinfo(np.int64).max), np.full(len(code), _NOBODY)
+        np.minimum.at(lo, code, doc)
+        np.maximum.at(hi, code, doc)
+        use = np.flatnonzero((lo[code] < hi[code]) | again)
+        if not len(use):
+            return pa.table({f: pa.nulls(0, t) for f, t in _FIELDS})
+        table = table.take(pa.array(use))
+        strings = table.column("bytes").to_pylist()
+        doc, of, s, p, keys = (table.column(c).to_numpy() for c in ("doc_id", "of", "s", "p", "key"))
+        with tempfile.TemporaryDirectory() as folder:
+            who, at, group = suffix_order(strings, LENGTH, folder)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        least = np.repeat(np.minimum.reduceat(doc[who], first), np.diff(np.append(first, len(who))))
+        starts = np.array([len(x) for x in strings]) - LENGTH + 1
+        begin = np.cumsum(starts) - starts
+        # A cell before each cut, and one after the last, keeps its runs apart from its neighbours'.
+        cell = begin + np.arange(len(starts)) + 1
+        bad = np.zeros(int(starts.sum()) + len(starts) + 1, np.int8)
+        bad[cell[who] + at] = np.where(least < doc[who], 2, 1)
+        out = []
+        for kind in (2, 1) if again else (2,):
+            hit = bad == kind
+            edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+            a, z = edge[::2], edge[1::2]
+            k = np.searchsorted(cell, a, "right") - 1
+            a, z = a - cell[k], z - cell[k] + LENGTH - 1
+            whole = kind == 1
+            out.append(pa.table({"key": pa.array(keys[k], mask=np.full(len(k), not whole)), "bytes": pa.array(
+                [strings[i][x:y] for i, x, y in zip(k, a, z)] if whole else [None] * len(k), pa.binary()),
+                "p": pa.array((p[k] - a).astype(np.int32)), "doc_id": doc[k], "of": of[k], "s": s[k] + a,
+                "e": pa.array(s[k] + z, mask=np.full(len(k), whole))}).cast(pa.schema(_FIELDS)))
+        return pa.concat_tables(out)
+
+    return lambda key, table: run(table)
+
+
+_FIELDS = [("key", pa.int64()), ("bytes", pa.binary()), ("p", pa.int32()), ("doc_id", pa.int64()), ("of", pa.int64()), ("s", pa.int64()),
+           ("e", pa.int64())]
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,12 +417,12 @@ def _free(spark) -> None:
 
 def _apart(cuts: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame | None]:
     """Cuts of ordinary keys and cuts of very common ones, if there are any."""
-    common = cut(cuts.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > COMMON_CUTS).select(key))
+    common = cut(cuts.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > COMMON_CUTS))
     n = common.count()
     if not n:
         return cuts, None
     hot = maybe_broadcast(common, n)
-    return cuts.join(hot, key, "left_anti"), cuts.join(hot, key, "left_semi")
+    return cuts.join(hot.select(key), key, "left_anti"), cuts.join(hot, key)
 
 
 def _halves(cuts: DataFrame) -> DataFrame:
@@ -412,9 +432,9 @@ def _halves(cuts: DataFrame) -> DataFrame:
         F.lit(0), F.expr(f"substring(bytes, p + 1, {ANCHOR + more})")).alias("key"))
     left = F.struct(F.lit(0).alias("lo"), F.least(last, F.col("p") - more - 1).alias("hi"), F.xxhash64(
         F.lit(1), F.expr(f"substring(bytes, p - {more}, {ANCHOR + more + 1})")).alias("key"))
-    parts = cuts.select("bytes", "doc_id", "of", "s", F.explode(F.array(right, left)).alias("x")).where("x.lo <= x.hi")
+    parts = cuts.select("bytes", "p", "doc_id", "of", "s", F.explode(F.array(right, left)).alias("x")).where("x.lo <= x.hi")
     return parts.select(F.col("x.key").alias("key"), F.expr(f"substring(bytes, x.lo + 1, x.hi - x.lo + {LENGTH})").alias("bytes"),
-                        "doc_id", "of", (F.col("s") + F.col("x.lo")).alias("s"))
+                        (F.col("p") - F.col("x.lo")).cast("int").alias("p"), "doc_id", "of", (F.col("s") + F.col("x.lo")).alias("s"))
 
 
 def _string_spans(cuts: DataFrame) -> DataFrame:
@@ -441,20 +461,22 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marked = cut(found.groupBy("chunk").applyInArrow(_by_document, "doc_id long, of long, covered binary, asked binary"))
     _free(spark)
     places = cut(long.join(marked, ["doc_id", "of"]).select("doc_id", "of", "text", "covered", "asked").mapInArrow(
-        giving_back(_cuts), "key long, bytes binary, p int, doc_id long, of long, s long, e long"))
+        giving_back(_cuts), _PLACE))
     _free(spark)
-    asked = places.where("key is not null").select("key", "bytes", "p", "doc_id", "of", "s")
-    ordinary, common = _apart(asked)
-    dealt = ordinary.drop("p")
-    spans = places.where("key is null").select("doc_id", "of", "s", "e")
+    cuts, spans = ["key", "bytes", "p", "doc_id", "of", "s"], ["doc_id", "of", "s", "e"]
+    dealt, common = _apart(places.where("key is not null").select(*cuts))
+    found = places.where("key is null").select(*spans)
     if common is not None:
-        halves, strings = _apart(cut(_halves(common)))
+        blocks = common.withColumn("bucket", F.xxhash64("key", F.pmod(F.xxhash64("doc_id", "s"), F.ceil(F.col("n") / BUCKET_CUTS))))
+        rest = cut(blocks.select("bucket", *cuts).groupBy("bucket").applyInArrow(_construct(True), _PLACE))
+        found = found.unionByName(rest.where("key is null").select(*spans))
+        halves, strings = _apart(cut(_halves(rest.where("key is not null"))))
         dealt = dealt.unionByName(halves)
         if strings is not None:
-            spans = spans.unionByName(_string_spans(strings))
-    groups = max(1, asked.count() // BUCKET_CUTS)
-    order = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("bucket")
-    spans = cut(spans.unionByName(order.applyInArrow(_construct, "doc_id long, of long, s long, e long")))
+            found = found.unionByName(_string_spans(strings))
+    groups = max(1, places.where("key is not null").count() // BUCKET_CUTS)
+    order = dealt.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("bucket"), *cuts).groupBy("bucket")
+    spans = cut(found.unionByName(order.applyInArrow(_construct(False), _PLACE).select(*spans)))
     _free(spark)
     # A document has few spans, as runs of starts are one.
     per_doc = spans.groupBy("doc_id", "of").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
