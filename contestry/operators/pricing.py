@@ -9,13 +9,16 @@ from ..functions import names, odds
 
 
 def clean_odds(raw: DataFrame) -> DataFrame:
-    """Closing prices: the sharp book's, else the average, each side on its own; rows without both go."""
-    pick = lambda own, mean: (F.coalesce(F.col(own), F.col(mean)) if own in raw.columns and mean in raw.columns
-                              else F.col(own) if own in raw.columns else F.col(mean))
-    df = raw.withColumns({"odds_w": pick("psw", "avgw"), "odds_l": pick("psl", "avgl")})
-    df = df.dropna(subset=["day", "winner", "loser", "odds_w", "odds_l"])
-    return df.select("odds_id", F.to_date("day").alias("day"), "winner", "loser", "odds_w", "odds_l",
-                     odds.margin(F.col("odds_w"), F.col("odds_l")).alias("margin"))
+    """Closing prices: the sharp book's, else the average, each side on its own; rows without both go.
+
+    Columns are found whatever their capitals; the day may be called ``date``.
+    """
+    names_here = {c.lower(): c for c in raw.columns}
+    there = lambda *names: [F.col(f"`{names_here[n]}`") for n in names if n in names_here]
+    df = raw.select(*there("odds_id"), F.to_date(there("day", "date")[0]).alias("day"), *there("winner", "loser"),
+                    F.coalesce(*there("psw", "avgw")).alias("odds_w"), F.coalesce(*there("psl", "avgl")).alias("odds_l"))
+    df = df.toDF("odds_id", "day", "winner", "loser", "odds_w", "odds_l").dropna(subset=["day", "winner", "loser", "odds_w", "odds_l"])
+    return df.withColumn("margin", odds.margin(F.col("odds_w"), F.col("odds_l")))
 
 
 def name_index(players: DataFrame) -> DataFrame:

@@ -80,15 +80,21 @@ def fit(sums: DataFrame, ridge: float = RIDGE) -> DataFrame:
 def predict_points(pairs: DataFrame, skills: DataFrame, center: bool = False) -> DataFrame:
     """spw_a and spw_b for rows with surface, as_of, player_a_id and player_b_id.
 
-    Players with few observations count as average. The default adds the intercept to skills that were fitted
+    Players with few observations, or none at all (``n_obs`` 0), count as average. The default adds the intercept to skills that were fitted
     on uncentred targets, as the established model does; ``center`` leaves it out.
     """
-    s = skills.select("surface", "as_of", "player_id", "n_obs", "intercept",
-                      F.when(F.col("n_obs") >= LEAST_OBS, F.col("serve_skill")).otherwise(F.col("avg_serve")).alias("serve"),
-                      F.when(F.col("n_obs") >= LEAST_OBS, F.col("return_skill")).otherwise(F.col("avg_return")).alias("back"))
-    side = lambda x: s.select("surface", "as_of", F.col("player_id").alias(f"player_{x}_id"), F.col("serve").alias(f"serve_{x}"),
-                              F.col("back").alias(f"back_{x}"), F.col("n_obs").alias(f"n_obs_{x}"), F.col("intercept").alias(f"intercept_{x}"))
-    both = pairs.join(side("a"), ["surface", "as_of", "player_a_id"]).join(side("b").drop("intercept_b"), ["surface", "as_of", "player_b_id"])
+    at = ["surface", "as_of"]
+    means = skills.groupBy(*at).agg(*[F.first(c).alias(c) for c in ("intercept", "avg_serve", "avg_return")])
+    known = F.col("n_obs") >= LEAST_OBS
+    s = skills.select(*at, "player_id", "n_obs", F.when(known, F.col("serve_skill")).alias("serve"), F.when(known, F.col("return_skill")).alias("back"))
+    both = pairs.join(means, at)
+    for x in ("a", "b"):
+        side = s.select(*at, F.col("player_id").alias(f"player_{x}_id"), F.col("serve").alias(f"serve_{x}"), F.col("back").alias(f"back_{x}"),
+                        F.col("n_obs").alias(f"n_obs_{x}"))
+        both = both.join(side, [*at, f"player_{x}_id"], "left").withColumns({
+            f"serve_{x}": F.coalesce(f"serve_{x}", "avg_serve"), f"back_{x}": F.coalesce(f"back_{x}", "avg_return"),
+            f"n_obs_{x}": F.coalesce(f"n_obs_{x}", F.lit(0).cast(s.schema["n_obs"].dataType))})
+    both = both.withColumnRenamed("intercept", "intercept_a")
     base = F.lit(0.0) if center else F.col("intercept_a")
     return both.withColumns({"spw_a": sigmoid(base + F.col("serve_a") - F.col("back_b")), "spw_b": sigmoid(base + F.col("serve_b") - F.col("back_a"))}).drop(
-        "serve_a", "serve_b", "back_a", "back_b", "intercept_a")
+        "serve_a", "serve_b", "back_a", "back_b", "intercept_a", "avg_serve", "avg_return")

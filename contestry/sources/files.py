@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_INTEGERS = ("match_id", "tourney_date", "best_of", "winner_id", "loser_id", "winner_rank", "loser_rank")
+_INTEGERS = ("match_id", "match_num", "tourney_date", "best_of", "winner_id", "loser_id", "winner_rank", "loser_rank")
 _DOUBLES = ("w_svpt", "w_1stWon", "w_2ndWon", "l_svpt", "l_1stWon", "l_2ndWon", "w_SvGms", "l_SvGms")
-_STRINGS = ("tourney_name", "tourney_level", "surface", "winner_name", "loser_name", "score")
+_STRINGS = ("tourney_id", "tourney_name", "tourney_level", "surface", "winner_name", "loser_name", "score")
 MATCH_COLUMNS = {**dict.fromkeys(_INTEGERS, "bigint"), **dict.fromkeys(_STRINGS, "string"), **dict.fromkeys(_DOUBLES, "double")}
 ODDS_COLUMNS = {"Date": "date", "Tournament": "string", "Surface": "string", "Round": "string", "Best of": "int", "Winner": "string",
                 "Loser": "string", **dict.fromkeys(("WRank", "LRank"), "int"),
@@ -31,14 +31,31 @@ def _scan(spark: SparkSession, paths: list[str], columns: dict[str, str]) -> Dat
 
 
 def load_matches(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """Yearly match files (CSV or Parquet) by year, with the year as a column."""
+    """Yearly match files (CSV or Parquet) by year, with the year as a column.
+
+    A file without ``match_id`` names its matches by tournament and number: the id is the tournament's hash with the
+    number in its low bits, so that matches of one tournament and day stay in their order. A row that has neither is
+    refused when it is read; ``repeated_ids`` shows ids that are there twice.
+    """
     frames = [_scan(spark, [p], MATCH_COLUMNS).withColumn("year", F.lit(y)) for y, p in sorted(paths.items())]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    number = F.when(F.col("match_num").between(0, (1 << 20) - 1), F.col("match_num"))
+    made = F.shiftleft(F.shiftrightunsigned(F.when(F.col("tourney_id").isNotNull(), F.xxhash64("tourney_id")), 21), 20) + number
+    return reduce(lambda a, b: a.unionByName(b), frames).withColumn("match_id", F.coalesce(
+        F.col("match_id"), made, F.raise_error(F.lit("a match needs match_id, or tourney_id and match_num")).cast("bigint")))
+
+
+def repeated_ids(matches: DataFrame) -> DataFrame:
+    """match_id, n: identifiers of more than one match."""
+    return matches.groupBy("match_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def load_odds(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Yearly price files as CSV or Parquet; spreadsheets are converted before."""
-    return _scan(spark, paths, ODDS_COLUMNS)
+    """Yearly price files as CSV or Parquet, ready for ``clean_odds``; spreadsheets are converted before.
+
+    A price is named by a hash of what it is about, so it has the same odds_id however the files are read.
+    """
+    raw = _scan(spark, paths, ODDS_COLUMNS)
+    return raw.withColumn("odds_id", F.xxhash64("Date", "Tournament", "Round", "Winner", "Loser"))
 
 
 def load_predictions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

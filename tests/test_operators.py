@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contestry import queries
-from contestry.operators import audit, calibrate, metrics, ratings, reshape, skills
+from contestry.operators import audit, calibrate, metrics, pricing, ratings, reshape, skills
 from contestry.plans import walkforward
 from contestry.sources import files
 from contestry.streaming.ratings import rate_stream
@@ -150,3 +150,43 @@ def test_stream_equals_fold(spark, small, tmp_path):
     want = {r.match_id: r.p_w for r in ratings.rate(ratings.tracks(part, surfaces=False)).collect()}
     got = {r.match_id: r.p_w for r in spark.table("rated").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_files_to_priced_predictions(spark, tmp_path):
+    """Yearly files with the headers they come with, through ratings, names and prices to a loss."""
+    names = {1: "Ada Byron", 2: "Bo van Dyk", 3: "Cy Ek"}
+    rows = [(2000, "2000-1", k, f"2000{1 + k // 20:02d}{1 + k % 20:02d}", *pair) for k, pair in enumerate([(1, 2), (1, 3), (3, 2), (1, 2)] * 8)]
+    lines = ["tourney_id,tourney_name,surface,tourney_level,tourney_date,match_num,winner_id,winner_name,loser_id,loser_name,score,best_of,"
+             "w_svpt,w_1stWon,w_2ndWon,l_svpt,l_1stWon,l_2ndWon"]
+    lines += [f"{t},Cup,Hard,A,{d},{k},{w},{names[w]},{l},{names[l]},6-4 6-4,3,60,30,12,62,28,10" for _, t, k, d, w, l in rows]
+    (tmp_path / "m.csv").write_text("\n".join(lines))
+    short = {1: "Byron A.", 2: "Van Dyk B.", 3: "Ek C."}
+    prices = ["Date ,Tournament,Winner,Loser,PSW,PSL,AvgW,AvgL"]
+    prices += [f"{d[:4]}-{d[4:6]}-{d[6:]},Cup,{short[w]},{short[l]},{'' if k % 8 == 0 else 1.5},{'' if k % 8 == 0 else 2.7},1.4,2.6" for _, _, k, d, w, l in rows]
+    (tmp_path / "o.csv").write_text("\n".join(prices))
+    raw = files.load_matches(spark, {2000: f"{tmp_path}/m.csv"})
+    assert files.repeated_ids(raw).count() == 0 and [r.match_num for r in raw.orderBy("match_id").collect()] == list(range(32))
+    matches = reshape.clean_matches(raw)
+    rated = {r.match_id: r.p_w for r in ratings.rate(ratings.tracks(matches, surfaces=False)).collect()}
+    assert len(rated) == 32 and rated[min(rated)] == pytest.approx(0.5)
+    clean = pricing.clean_odds(files.load_odds(spark, [f"{tmp_path}/o.csv"]))
+    assert sorted({(r.odds_w, r.odds_l) for r in clean.collect()}) == [(1.4, 2.6), (1.5, 2.7)] and clean.count() == 32
+    p = spark.createDataFrame(list(rated.items()), "match_id long, p_model double")
+    won = matches.join(p, "match_id").select("match_id", "date", F.col("winner_id").alias("player_a_id"), F.col("loser_id").alias("player_b_id"),
+                                           F.lit(1).alias("actual_a_won"), "p_model")
+    index = pricing.name_index(spark.createDataFrame(list(names.items()), "player_id long, name string"))
+    priced = pricing.join_odds(won, clean, index, days=0)
+    assert priced.count() == 32 and {r.odds_a for r in priced.collect()} == {1.4, 1.5}
+    loss = metrics.summary(priced, "p_model").first()
+    want = -sum(math.log(x) for x in rated.values()) / 32
+    assert any(isinstance(v, float) and v == pytest.approx(want) for v in loss.asDict().values())
+
+
+def test_unseen_players_count_as_average(spark):
+    table = spark.createDataFrame([("Hard", "2000-01-03", 1, 9, 0.3, 0.1, 0.5, 0.02, 0.01)],
+                                  "surface string, as_of string, player_id long, n_obs int, serve_skill double, return_skill double, intercept double, avg_serve double, avg_return double")
+    pairs = spark.createDataFrame([("Hard", "2000-01-03", 1, 77), ("Hard", "2000-01-03", 78, 77)], "surface string, as_of string, player_a_id long, player_b_id long")
+    got = {r.player_a_id: r for r in skills.predict_points(pairs, table).collect()}
+    logit = lambda x: 1 / (1 + math.exp(-x))
+    assert got[1].spw_a == pytest.approx(logit(0.5 + 0.3 - 0.01)) and got[1].spw_b == pytest.approx(logit(0.5 + 0.02 - 0.1))
+    assert got[78].spw_a == pytest.approx(logit(0.5 + 0.02 - 0.01)) and got[78].n_obs_b == 0
