@@ -1,22 +1,20 @@
 """Toxicity from nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled rows gives the examples and, by chi-square, the words that tell the labels apart;
-document frequencies of those words are counted over all documents. Examples are dealt to blocks of an inverted
-index that keeps, per word and block, the largest weight: a block is opened only while its bound can still
+A bounded sample of labelled rows gives the examples. All their words are indexed; document frequencies are counted
+over all documents, and a word's weight is also that of its association with the label. Examples are dealt to blocks
+of an inverted index that keeps, per word and block, the largest weight: a block is opened only if its bound can
 reach the k best, so the neighbours are exact. Votes are weighted by similarity and calibrated on the examples,
 each of them left out of its own vote.
 
-Defined cases: null and empty texts have no words and get the calibrated rate of examples without any telling
-word. Ties between neighbours go to the example that comes first. Repeated labels of one document count once,
+Defined cases: null and empty texts have no words and get the rate of examples without any word of weight. Ties between neighbours go to the example that comes first. Repeated labels of one document count once,
 toxic if any says so; null labels are no labels. Labelled texts that are equal but for capitals and spaces are one
 example. Without labelled rows every score is 0. Repeated rows give a row each. Only text is an input of a score.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,68 +22,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import _expand
 from .common import giving_back, pick, small_batches
+from .neardup import _mix
 
-#: Labelled rows of the sample, words of the vocabulary, neighbours, examples of a block.
-SAMPLE_ROWS, VOCABULARY, NEIGHBOURS, BLOCK = 8192, 512, 15, 64
-#: A word tells the labels apart from this chi-square on, in at least so many examples, and in this share of the
-#: rarer label's number: fewer may be copies of a few texts.
-LEAST_CHI2, LEAST_DF, LEAST_SHARE = 40.0, 4, 0.02
+#: Labelled rows of the sample, neighbours, examples of a block, blocks that are opened first.
+SAMPLE_ROWS, NEIGHBOURS, BLOCK, FIRST_BLOCKS = 4096, 15, 64, 4
 #: Weight of the examples' base rate beside the votes.
 PRIOR_WEIGHT = 0.2
-_WORD = re.compile(r"[^\W_]+")
-
-
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """Letters and digits, for every code point."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def word_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word and how often it is there, in order; words are runs of letters and digits in small letters, named by 64-bit hashes."""
+    texts = [(t or "").lower() for t in texts]
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    inside = np.concatenate([[False], _in_words()[code], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    power = np.cumprod(np.full(int(size.max()), _POWER))
+    flat = _expand(start, size)
+    key = (code[flat].astype(np.uint64) + np.uint64(1)) * power[flat - np.repeat(start, size)]
+    word = _mix(np.add.reduceat(key, np.cumsum(size) - size))
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    o = np.lexsort((word, text))
+    text, word = text[o], word[o]
+    new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (word[1:] != word[:-1])))
+    return text[new], word[new], np.diff(np.append(new, len(o)))
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [Counter(words(t)) for t in batch.column(1).to_pylist()]
+        text, word, n = word_counts(batch.column(1).to_pylist())
+        at = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(2), pa.array([list(c) for c in found], pa.list_(pa.string())),
-            pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "tf"])
+            batch.column(0), batch.column(2), pa.ListArray.from_arrays(at, pa.array(word.view(np.int64))),
+            pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))], names=["doc_id", "toxic", "words", "tf"])
+
+
+def label_weight(df: np.ndarray, hit: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """How much a word's presence says about the label: its phi coefficient over the examples, 0 to 1 at every size."""
+    spread = df * (n - df) * float(n_toxic) * (n - n_toxic)
+    return np.abs(hit * float(n) - df * float(n_toxic)) / np.sqrt(np.where(spread > 0, spread, np.inf))
 
 
 class Neighbours:
-    """The block-max inverted index over the examples, and the votes' calibration."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, tf: np.ndarray, toxic: np.ndarray, ids: np.ndarray):
-        self.number = {w: i for i, w in enumerate(vocabulary)}
-        self.idf, self.base = idf, float(toxic.mean()) if len(toxic) else 0.0
-        rows = self._weights(tf) if len(tf) else np.zeros((0, len(vocabulary)))
-        # Examples without any telling word have no direction; their rate is the score of such texts.
-        some = rows.any(axis=1)
+    """The block-max inverted index over the examples, and the votes' calibration.
+
+    A posting list has the examples with a word, block by block; of each word and block the largest weight is kept.
+    """
+
+    def __init__(self, row: np.ndarray, word: np.ndarray, tf: np.ndarray, toxic: np.ndarray, ids: np.ndarray,
+                 vocabulary: np.ndarray, df: np.ndarray, total: int):
+        """Example, word and count of each entry; labels and doc_ids of the examples; all words in order and the documents with them."""
+        toxic = toxic.astype(float)
+        self.base = float(toxic.mean()) if len(toxic) else 0.0
+        self.vocabulary, size = vocabulary, np.zeros(len(toxic), np.int64)
+        term = np.searchsorted(vocabulary, word)
+        held = np.bincount(term, minlength=len(vocabulary)), np.bincount(term, toxic[row], minlength=len(vocabulary))
+        self.idf = (np.log((1 + total) / (1 + df)) + 1) * label_weight(*held, len(toxic), int(toxic.sum()))
+        w = (1 + np.log(tf)) * self.idf[term]
+        norm = np.sqrt(np.bincount(row, w * w, minlength=len(size)))
+        w = w / np.where(norm > 0, norm, 1)[row]
+        # Examples without any word of weight have no direction; their rate is the score of such texts.
+        some = norm > 0
         self.rate_without = float((toxic[~some].sum() + self.base) / ((~some).sum() + 1))
-        rows, toxic, ids = rows[some], toxic[some], ids[some]
         # Examples with the same heaviest word share blocks, which keeps the bounds tight.
-        order = np.lexsort((ids, -rows.max(axis=1), rows.argmax(axis=1))) if len(rows) else np.arange(0)
-        rows, self.toxic, self.ids = rows[order], toxic[order].astype(float), ids[order]
-        starts = range(0, len(rows), BLOCK)
-        self.blocks = [rows[s:s + BLOCK] for s in starts]
-        self.bound = np.stack([b.max(axis=0) for b in self.blocks], axis=1) if self.blocks else np.zeros((len(vocabulary), 0))
+        heaviest = np.zeros(len(size), np.int64)
+        by = np.lexsort((-w, row))
+        first = np.flatnonzero(np.append(True, row[by][1:] != row[by][:-1])) if len(by) else by
+        heaviest[row[by][first]] = term[by][first]
+        order = np.lexsort((ids, heaviest))
+        order = order[some[order]]
+        place = np.full(len(size), -1, np.int64)
+        place[order] = np.arange(len(order))
+        self.toxic, self.ids = toxic[order], ids[order]
+        use = (place[row] >= 0) & (w > 0)
+        term, row, w = term[use], place[row[use]], w[use]
+        by = np.lexsort((row, term))
+        term, self.row, self.w = term[by], row[by], w[by]
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (self.row[1:] // BLOCK != self.row[:-1] // BLOCK))) if len(term) else term
+        self.part_start, self.part_size = new, np.diff(np.append(new, len(term)))
+        self.part_block = self.row[new] // BLOCK
+        self.part_most = np.maximum.reduceat(self.w, new) if len(new) else self.w
+        self.start = np.searchsorted(term[new], np.arange(len(vocabulary)))
+        self.size = np.searchsorted(term[new], np.arange(len(vocabulary)), "right") - self.start
         self.knots = None
-        if len(rows):
-            raw = np.array([self.vote(*self.nearest(np.flatnonzero(r), r[r > 0], leave=i)) for i, r in enumerate(rows)])
+        if len(order):
+            own = np.argsort(self.row, kind="stable")
+            edge = np.searchsorted(self.row[own], np.arange(len(order) + 1))
+            raw = np.array([self.vote(*self.nearest(term[own[a:z]], self.w[own[a:z]], leave=i)) for i, (a, z) in enumerate(zip(edge, edge[1:]))])
             self.knots = _isotonic(raw, self.toxic)
 
-    def _weights(self, tf: np.ndarray) -> np.ndarray:
-        w = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * self.idf
-        norm = np.linalg.norm(w, axis=-1, keepdims=True)
-        return w / np.where(norm > 0, norm, 1)
-
     def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example positions and cosines of the k best, the best first."""
-        bound = weights @ self.bound[terms]
-        best_i, best_s = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == NEIGHBOURS and bound[b] < best_s[-1] - 1e-12:
+        """Example positions and cosines of the k best, the best first.
+
+        A block is opened if what its words could give at most reaches the k-th best of the blocks that promise most.
+        """
+        size = self.size[terms]
+        part = _expand(self.start[terms], size)
+        weight, block = np.repeat(weights, size), self.part_block[part]
+        bound = np.bincount(block, weight * self.part_most[part], minlength=-(-len(self.toxic) // BLOCK))
+        some = np.flatnonzero(bound > 0)
+        first = some[np.argsort(-bound[some], kind="stable")[:FIRST_BLOCKS]]
+        opened, best_i, best_s = np.zeros(len(bound), bool), np.empty(0, np.int64), np.empty(0)
+        for turn in (0, 1):
+            least = best_s[-1] - 1e-12 if len(best_s) == NEIGHBOURS else 0
+            now = first if not turn else some[~opened[some] & (bound[some] >= least)]
+            if not len(now):
                 break
-            s = self.blocks[b][:, terms] @ weights
-            i = np.arange(b * BLOCK, b * BLOCK + len(s))
-            use = (s > 0) & (i != leave)
-            i, s = np.concatenate([best_i, i[use]]), np.concatenate([best_s, s[use]])
+            opened[now] = True
+            chosen = np.zeros(len(bound), bool)
+            chosen[now] = True
+            hit = np.flatnonzero(chosen[block])
+            k = self.part_size[part[hit]]
+            cell = _expand(self.part_start[part[hit]], k)
+            s = np.bincount(self.row[cell], np.repeat(weight[hit], k) * self.w[cell], minlength=len(self.toxic))
+            if leave >= 0:
+                s[leave] = 0
+            i = np.flatnonzero(s > (0 if len(best_s) < NEIGHBOURS else best_s[-1] - 1e-12))
+            i, s = np.append(best_i, i), np.append(best_s, s[i])
             top = np.lexsort((i, -np.round(s, 12)))[:NEIGHBOURS]
             best_i, best_s = i[top], s[top]
         return best_i, best_s
@@ -93,22 +157,22 @@ class Neighbours:
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         return float((s @ self.toxic[i] + PRIOR_WEIGHT * self.base) / (s.sum() + PRIOR_WEIGHT))
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """The calibrated score, and the nearest examples with their cosines as evidence."""
-        number = self.number
-        count = Counter(number[w] for w in words(text) if w in number)
-        if not count or self.knots is None:
-            return self.rate_without, [], []
-        terms = np.array(sorted(count))
-        w = (1 + np.log(np.array([count[t] for t in terms]))) * self.idf[terms]
-        norm = np.linalg.norm(w)
-        if not norm > 0:
-            return self.rate_without, [], []
-        i, s = self.nearest(terms, w / norm)
-        if not len(i):
-            return self.rate_without, [], []
-        score = float(np.interp(self.vote(i, s), *self.knots))
-        return score, self.ids[i[:3]].tolist(), s[:3].tolist()
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Calibrated scores, and the nearest examples with their cosines as evidence."""
+        out: list[tuple[float, list[int], list[float]]] = [(self.rate_without, [], [])] * len(texts)
+        if self.knots is None:
+            return out
+        text, word, n = word_counts(texts)
+        term = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
+        w = np.where(self.vocabulary[term] == word, (1 + np.log(n)) * self.idf[term], 0)
+        text, term, w = text[w > 0], term[w > 0], w[w > 0]
+        w = w / np.sqrt(np.bincount(text, w * w))[text] if len(w) else w
+        edge = np.searchsorted(text, np.arange(len(texts) + 1))
+        for k, (a, z) in enumerate(zip(edge, edge[1:])):
+            i, s = self.nearest(term[a:z], w[a:z]) if z > a else ((), ())
+            if len(i):
+                out[k] = float(np.interp(self.vote(i, s), *self.knots)), self.ids[i[:3]].tolist(), s[:3].tolist()
+        return out
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,47 +206,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).groupBy(
         whole.alias("whole"), "toxic").agg(
         F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).select("doc_id", "text", "toxic").mapInArrow(
-        _example_words, "doc_id long, toxic long, words array<string>, tf array<int>").persist()
-    n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n:
-        return Neighbours([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.int64))
-    per_word = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(
-        F.col("df") >= max(LEAST_DF, LEAST_SHARE * min(n_toxic, n - n_toxic)))
-    a, b = F.col("hit"), F.col("df") - F.col("hit")
-    c, d = F.lit(n_toxic) - a, F.lit(n - n_toxic) - b
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, 2) / F.greatest(
-        F.lit(1.0), (a + b).cast("double") * (c + d) * (a + c) * (b + d))
-    vocabulary = [r["word"] for r in per_word.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(
-        F.desc("chi2"), "word").limit(VOCABULARY).select("word").collect()]
-    number = {w: i for i, w in enumerate(vocabulary)}
-    examples = sample.select("doc_id", "toxic", F.filter(
-        F.arrays_zip("words", "tf"), lambda x: x["words"].isin(vocabulary)).alias("pairs")).orderBy("doc_id").toPandas()
-    sample.unpersist()
-    tf = np.zeros((len(examples), len(vocabulary)))
-    for i, pairs in enumerate(examples["pairs"]):
-        for p in pairs:
-            tf[i, number[p["words"]]] = p["tf"]
-    df = document_frequencies(docs, vocabulary)
-    total = df.get(None, 0)
-    idf = np.array([np.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary])
-    return Neighbours(vocabulary, idf, tf, examples["toxic"].to_numpy(), examples["doc_id"].to_numpy(np.int64))
-
-
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str | None, int]:
-    """Documents that hold each word, over all documents; None has the number of documents."""
+        _example_words, "doc_id long, toxic long, words array<long>, tf array<int>").orderBy("doc_id").toArrow()
+    words = [sample[c].combine_chunks() for c in ("words", "tf")]
+    row = np.repeat(np.arange(len(sample)), words[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    word, tf = (x.flatten().to_numpy(zero_copy_only=False) for x in words)
+    word = np.ascontiguousarray(word, np.int64).view(np.uint64)
+    vocabulary = np.unique(word)
+    df, total = document_frequencies(docs, vocabulary) if len(sample) else (np.zeros(0), 0)
+    return Neighbours(row, word, tf, sample["toxic"].to_numpy(), sample["doc_id"].to_numpy(), vocabulary, df, total)
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """Documents that hold each word, over all documents, and the number of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, df = set(vocabulary), Counter()
+        # One cell more for the number of documents.
+        df = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df[None] += 1
-                df.update(wanted.intersection(words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())],
-                                         names=["word", "n"])
+            word = word_counts(batch.column(0).to_pylist())[1]
+            term = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1) if len(vocabulary) else np.empty(0, np.int64)
+            df += np.bincount(term[vocabulary[term] == word] if len(vocabulary) else term, minlength=len(df))
+            df[-1] += batch.num_rows
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
 
-    # As many rows as words of the bounded vocabulary.
-    rows = docs.select("text").mapInArrow(giving_back(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in rows.collect()}
+    # As many rows as words of the bounded sample.
+    rows = docs.select("text").mapInArrow(giving_back(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return df[:-1], int(df[-1])
 
 
 def held_out(doc_id) -> object:
@@ -198,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(t) for t in batch.column(1).to_pylist()]
+            found = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([x[0] for x in found], pa.float64()),
                 pa.array([x[1] for x in found], pa.list_(pa.int64())),
@@ -218,6 +269,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **
 
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t)[0] for t in text], dtype="float64")
+        return pd.Series([x[0] for x in model.scores(list(text))], dtype="float64")
 
     return docs.where(of(F.col(text_col)) < 0.5)
