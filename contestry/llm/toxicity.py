@@ -28,6 +28,8 @@ from .neardup import _mix
 
 #: Labelled rows of the sample, neighbours, examples of a block, blocks that are opened first.
 SAMPLE_ROWS, NEIGHBOURS, BLOCK, FIRST_BLOCKS = 4096, 15, 64, 4
+#: A word that more than one of so many examples hold has a full row for a posting list; texts scored at once.
+FULL_ROW, TEXTS = 16, 128
 #: Weight of the examples' base rate beside the votes.
 PRIOR_WEIGHT = 0.2
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +85,7 @@ class Neighbours:
     def __init__(self, row: np.ndarray, word: np.ndarray, tf: np.ndarray, toxic: np.ndarray, ids: np.ndarray,
                  vocabulary: np.ndarray, df: np.ndarray, total: int):
         """Example, word and count of each entry; labels and doc_ids of the examples; all words in order and the documents with them."""
-        toxic = toxic.astype(float)
+        toxic, self.block = toxic.astype(float), BLOCK
         self.base = float(toxic.mean()) if len(toxic) else 0.0
         self.vocabulary, size = vocabulary, np.zeros(len(toxic), np.int64)
         term = np.searchsorted(vocabulary, word)
@@ -107,52 +109,80 @@ class Neighbours:
         self.toxic, self.ids = toxic[order], ids[order]
         use = (place[row] >= 0) & (w > 0)
         term, row, w = term[use], place[row[use]], w[use]
+        whole = np.lexsort((term, row))
+        whole = row[whole], term[whole], w[whole]
+        # Posting lists of words that many examples hold are full rows, so that one product scores a batch of texts.
+        frequent = np.flatnonzero(np.bincount(term, minlength=len(vocabulary)) * FULL_ROW > len(order))
+        self.full = np.full(len(vocabulary), -1)
+        self.full[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), len(order)))
+        at = self.full[term]
+        self.rows[at[at >= 0], row[at >= 0]] = w[at >= 0]
+        term, row, w = term[at < 0], row[at < 0], w[at < 0]
         by = np.lexsort((row, term))
         term, self.row, self.w = term[by], row[by], w[by]
-        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (self.row[1:] // BLOCK != self.row[:-1] // BLOCK))) if len(term) else term
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (self.row[1:] // self.block != self.row[:-1] // self.block))) if len(term) else term
         self.part_start, self.part_size = new, np.diff(np.append(new, len(term)))
-        self.part_block = self.row[new] // BLOCK
+        self.part_block = self.row[new] // self.block
         self.part_most = np.maximum.reduceat(self.w, new) if len(new) else self.w
         self.start = np.searchsorted(term[new], np.arange(len(vocabulary)))
         self.size = np.searchsorted(term[new], np.arange(len(vocabulary)), "right") - self.start
         self.knots = None
         if len(order):
-            own = np.argsort(self.row, kind="stable")
-            edge = np.searchsorted(self.row[own], np.arange(len(order) + 1))
-            raw = np.array([self.vote(*self.nearest(term[own[a:z]], self.w[own[a:z]], leave=i)) for i, (a, z) in enumerate(zip(edge, edge[1:]))])
+            raw = np.array([self.vote(i, s) for i, s in self.nearest(*whole, len(order), leave_own=True)])
             self.knots = _isotonic(raw, self.toxic)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example positions and cosines of the k best, the best first.
+    def nearest(self, text: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, leave_own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Example positions and cosines of the k best of each of n texts, the best first; text is in order.
 
-        A block is opened if what its words could give at most reaches the k-th best of the blocks that promise most.
+        leave_own: the texts are the examples themselves, and none is a neighbour of its own.
         """
+        full = self.full[term]
+        for low in range(0, n, TEXTS):
+            here = slice(*np.searchsorted(text, [low, low + TEXTS]))
+            t, column, words, weights = text[here] - low, full[here], term[here], w[here]
+            q = np.zeros((min(TEXTS, n - low), len(self.rows)))
+            q[t[column >= 0], column[column >= 0]] = weights[column >= 0]
+            t, words, weights = t[column < 0], words[column < 0], weights[column < 0]
+            edge = np.searchsorted(t, np.arange(len(q) + 1))
+            for k, s in enumerate(q @ self.rows):
+                yield self._best(s, words[edge[k]:edge[k + 1]], weights[edge[k]:edge[k + 1]], low + k if leave_own else None)
+
+    def _best(self, s: np.ndarray, terms: np.ndarray, weights: np.ndarray, leave: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best, given what frequent words add to each example.
+
+        A block is opened if that and what the other words could add at most reach the k-th best so far.
+        """
+        def least() -> float:
+            if leave is not None:
+                s[leave] = 0
+            return float(np.partition(s, -NEIGHBOURS)[-NEIGHBOURS]) - 1e-12 if len(s) > NEIGHBOURS else 0.0
+
+        reach = least()
         size = self.size[terms]
         part = _expand(self.start[terms], size)
         weight, block = np.repeat(weights, size), self.part_block[part]
-        bound = np.bincount(block, weight * self.part_most[part], minlength=-(-len(self.toxic) // BLOCK))
-        some = np.flatnonzero(bound > 0)
-        first = some[np.argsort(-bound[some], kind="stable")[:FIRST_BLOCKS]]
-        opened, best_i, best_s = np.zeros(len(bound), bool), np.empty(0, np.int64), np.empty(0)
+        more = np.bincount(block, weight * self.part_most[part], minlength=-(-len(s) // self.block))
+        bound = np.maximum.reduceat(s, np.arange(0, len(s), self.block)) + more
+        open_ = (more > 0) & (bound >= reach)
+        first = np.flatnonzero(open_)
+        first = first[np.argsort(-bound[first], kind="stable")[:FIRST_BLOCKS]]
         for turn in (0, 1):
-            least = best_s[-1] - 1e-12 if len(best_s) == NEIGHBOURS else 0
-            now = first if not turn else some[~opened[some] & (bound[some] >= least)]
-            if not len(now):
-                break
-            opened[now] = True
             chosen = np.zeros(len(bound), bool)
-            chosen[now] = True
+            if turn:
+                chosen |= open_ & (bound >= reach)
+                chosen[first] = False
+            else:
+                chosen[first] = True
             hit = np.flatnonzero(chosen[block])
-            k = self.part_size[part[hit]]
-            cell = _expand(self.part_start[part[hit]], k)
-            s = np.bincount(self.row[cell], np.repeat(weight[hit], k) * self.w[cell], minlength=len(self.toxic))
-            if leave >= 0:
-                s[leave] = 0
-            i = np.flatnonzero(s > (0 if len(best_s) < NEIGHBOURS else best_s[-1] - 1e-12))
-            i, s = np.append(best_i, i), np.append(best_s, s[i])
-            top = np.lexsort((i, -np.round(s, 12)))[:NEIGHBOURS]
-            best_i, best_s = i[top], s[top]
-        return best_i, best_s
+            if len(hit):
+                k = self.part_size[part[hit]]
+                cell = _expand(self.part_start[part[hit]], k)
+                s += np.bincount(self.row[cell], np.repeat(weight[hit], k) * self.w[cell], minlength=len(s))
+            reach = least()
+        i = np.flatnonzero((s > 0) & (s >= reach))
+        i = i[np.lexsort((i, -np.round(s[i], 12)))[:NEIGHBOURS]]
+        return i, s[i]
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         return float((s @ self.toxic[i] + PRIOR_WEIGHT * self.base) / (s.sum() + PRIOR_WEIGHT))
@@ -167,9 +197,7 @@ class Neighbours:
         w = np.where(self.vocabulary[term] == word, (1 + np.log(n)) * self.idf[term], 0)
         text, term, w = text[w > 0], term[w > 0], w[w > 0]
         w = w / np.sqrt(np.bincount(text, w * w))[text] if len(w) else w
-        edge = np.searchsorted(text, np.arange(len(texts) + 1))
-        for k, (a, z) in enumerate(zip(edge, edge[1:])):
-            i, s = self.nearest(term[a:z], w[a:z]) if z > a else ((), ())
+        for k, (i, s) in enumerate(self.nearest(text, term, w, len(texts))):
             if len(i):
                 out[k] = float(np.interp(self.vote(i, s), *self.knots)), self.ids[i[:3]].tolist(), s[:3].tolist()
         return out

@@ -311,8 +311,8 @@ def test_toxicity(spark):
     assert clean.columns == table(spark, rows).columns and clean.where("doc_id = 902").count() == 0
 
 
-@pytest.mark.parametrize("block", [64, 3])
-def test_scores_equal_dense_cosines(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,full", [(64, 16), (3, 16), (3, 1), (3, 8)])
+def test_scores_equal_dense_cosines(spark, monkeypatch, block, full):
     """The whole score against dense vectors over all words, all examples compared with every text."""
     import math
     import re
@@ -322,6 +322,7 @@ def test_scores_equal_dense_cosines(spark, monkeypatch, block):
     import numpy as np
 
     monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "FULL_ROW", full)
     rng = random.Random(13)
     words = [f"p{i}é" for i in range(120)] + ["vile", "rotten", "nasty"]
     rows = [(i, " ".join(rng.choices(words[:120], k=rng.randint(0, 30)) + rng.choices(words[120:], k=rng.choice([0, 0, 0, 2])))) for i in range(300)]
