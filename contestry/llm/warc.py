@@ -29,6 +29,8 @@ from .common import cut, pick, scratch, small_batches
 
 #: Payloads below this are never revisits; index lines of a block; level of compression.
 LEAST_PAYLOAD, BLOCK_LINES, LEVEL = 100, 256, 4
+#: Index blocks that a task reads back.
+BLOCKS_A_TASK = 8
 _DIRECTORY = "archive string, first_key string, last_key string, offset long, length long, n_lines long"
 
 
@@ -168,7 +170,9 @@ def read_archives(directory: DataFrame, folder: str) -> DataFrame:
                     yield _rows([_read_record(archive, int(at), int(n)) for _, at, n in lines])
 
     blocks = directory.select("archive", "offset", "length")
-    return blocks.repartition(F.col("archive"), F.col("offset")).mapInArrow(run, _RECORD)
+    # The directory is tiny whatever its archives weigh, so tasks are as many as its blocks ask for.
+    tasks = max(1, -(-directory.count() // BLOCKS_A_TASK))
+    return blocks.repartition(tasks, "archive", "offset").mapInArrow(run, _RECORD)
 
 
 def lookup(directory: DataFrame, folder: str, urls: DataFrame, *, url_col: str = "url") -> DataFrame:
