@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, neardup, passages, suffixes, tokencounts, toxicity, urlfilter, warc
+from . import bpe, decontaminate, embeddings, fim, merkle, neardup, passages, quality, suffixes, tokencounts, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,6 +71,26 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents with digests of the proofs, and the roots that leaves of changed texts fold to.
+
+    Nulls, repeated rows and empty tables as in ``merkle``.
+    """
+    out = merkle.audit(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                      "folded_root", "verified")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle forms of all documents and the texts restored from them, as digests; nulls as in ``fim``."""
+    return fim.round_trip(_read(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a model of the labelled rows that are not held out; nulls as in ``quality``."""
+    return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
@@ -82,4 +102,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_urlfilter": op9_urlfilter,
     "op10_warc": op10_warc,
+    "op11_merkle": op11_merkle,
+    "op12_fim": op12_fim,
+    "op13_quality": op13_quality,
 }
