@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SET_SCORES = [(6, k) for k in range(5)] + [(7, 5), (7, 6)] + [(6, 7), (5, 7)] + [(k, 6) for k in range(4, -1, -1)]
@@ -105,35 +105,87 @@ def with_markets(df: DataFrame, best_of: int) -> DataFrame:
     return df.select("*", *[F.expr(e).alias(c) for c, e in set_markets(best_of)])
 
 
-def set_score_rows(df: DataFrame, keys: list[str], deal: bool = False) -> DataFrame:
-    """One row per key and set score: a_games, b_games, p. deal: partition by the keys before the rows multiply."""
+def set_score_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and set score: a_games, b_games, p."""
     needed = sorted({(5, 10)} | {(5 if x > y else x, x + y - 1) for x, y in SET_SCORES if abs(x - y) > 1 and max(x, y) == 6})
     df = df.select("*", *[F.expr(_games(j, n)).alias(f"__{j}_{n}") for j, n in needed])
-    df = df.repartition(*keys) if deal else df
     cells = [F.struct(F.lit(x).alias("a_games"), F.lit(y).alias("b_games"),
                       F.expr(set_score(x, y, lambda j, n: f"__{j}_{n}")).alias("p")) for x, y in SET_SCORES]
     return df.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
 
 
-def total_games(df: DataFrame, keys: list[str], best_of: int = 3) -> DataFrame:
-    """Distribution of the games of a match: per set given its winner, convolved along the set sequences.
+#: Games of the shortest set and coefficients of a set's polynomial: 6 to 13 games.
+_LEAST, _SPAN = 6, 8
+
+
+def product(a: Column, b: Column) -> Column:
+    """Product of two polynomials, given as arrays of coefficients from the lowest power."""
+    return F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), lambda k: F.aggregate(
+        F.sequence(F.greatest(k - F.size(b) + 1, F.lit(0)), F.least(k, F.size(a) - 1)), F.lit(0.0),
+        lambda total, i: total + F.get(a, i) * F.get(b, k - i)))
+
+
+def add(a: Column, b: Column, shift: int = 0, times: float = 1.0) -> Column:
+    """a plus a multiple of b whose powers are raised by shift; a's length covers both.
+
+    Both are named columns and looked at twice, so that Spark computes them once and not for each coefficient.
+    """
+    return F.transform(a, lambda x, i: x + times * F.when((i >= shift) & (i - shift < F.size(b)), F.get(b, i - shift)).otherwise(0.0))
+
+
+def set_polynomials(df: DataFrame) -> DataFrame:
+    """Add set_a and set_b: chances of sets that A and B win, as arrays by games from 6 to 13."""
+    needed = sorted({(5, 10)} | {(5 if x > y else x, x + y - 1) for x, y in SET_SCORES if abs(x - y) > 1 and max(x, y) == 6})
+    names = list(df.columns)
+    df = df.select("*", *[F.expr(_games(j, n)).alias(f"__{j}_{n}") for j, n in needed])
+
+    def side(a_won: bool) -> Column:
+        by_games = {x + y: F.expr(set_score(x, y, lambda j, n: f"__{j}_{n}")) for x, y in SET_SCORES if (x > y) == a_won}
+        return F.array(*[by_games.get(_LEAST + k, F.lit(0.0)) for k in range(_SPAN)])
+
+    return df.select(*names, side(True).alias("set_a"), side(False).alias("set_b"))
+
 
-    A side that never wins a set has no games of its own sets; its branch has chance zero and drops out.
+def games_distribution(df: DataFrame, best_of: int = 3) -> DataFrame:
+    """Add dist: the chances of 2, 3, ... games of a match in all, by index, from set polynomials in the row.
+
+    With A(x) and B(x) for the sets of either side, each sequence of sets is a product of them; those that end a
+    match are A^2 + B^2 + 2 AB (A + B), or with three sets to win A^3 (1 + 3 B + 6 B^2) and the same for B. A row's
+    work stays in the row: nothing is joined or regrouped. A side that never wins a set has a zero polynomial.
     """
-    sets = set_score_rows(df, keys, deal=True).withColumn("a_won", F.col("a_games") > F.col("b_games")).groupBy(
-        *keys, "a_won", (F.col("a_games") + F.col("b_games")).alias("games")).agg(F.sum("p").alias("p"))
+    names = list(df.columns)
     need = best_of // 2 + 1
-    # State after each set: sets won by either side and games so far; the chances of a set's winner are in p.
-    state = df.select(*keys).distinct().select(*keys, F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("total"), F.lit(1.0).alias("q"))
-    for _ in range(best_of):
-        going, done = state.where((F.col("a") < need) & (F.col("b") < need)), state.where((F.col("a") == need) | (F.col("b") == need))
-        step = going.join(sets, keys).select(
-            *keys, (F.col("a") + F.col("a_won").cast("int")).alias("a"), (F.col("b") + (~F.col("a_won")).cast("int")).alias("b"),
-            (F.col("total") + F.col("games")).alias("total"), (F.col("q") * F.col("p")).alias("q"))
-        state = step.unionByName(done).groupBy(*keys, "a", "b", "total").agg(F.sum("q").alias("q"))
-    return state.groupBy(*keys, "total").agg(F.sum("q").alias("p"))
-
-
-def over_line(distribution: DataFrame, keys: list[str], lines: tuple[float, ...] = (21.5, 22.5)) -> DataFrame:
-    return distribution.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("total") > line, F.col("p")).otherwise(0.0)).alias("p_over_" + str(line).replace(".", "_")) for line in lines])
+    top = (_LEAST + _SPAN - 1) * best_of
+    df = set_polynomials(df).withColumns({"aa": product(F.col("set_a"), F.col("set_a")), "bb": product(F.col("set_b"), F.col("set_b"))})
+    if need == 1:
+        parts = [("set_a", 1, 1.0), ("set_b", 1, 1.0)]
+    elif need == 2:
+        df = df.withColumns({"ab": product(F.col("set_a"), F.col("set_b")), "either": add(F.col("set_a"), F.col("set_b"))})
+        df = df.withColumn("third", product(F.col("ab"), F.col("either")))
+        parts = [("aa", 2, 1.0), ("bb", 2, 1.0), ("third", 3, 2.0)]
+    else:
+        df = df.withColumns({"a3": product(F.col("aa"), F.col("set_a")), "b3": product(F.col("bb"), F.col("set_b"))})
+        df = df.withColumns({"a3b": product(F.col("a3"), F.col("set_b")), "b3a": product(F.col("b3"), F.col("set_a"))})
+        df = df.withColumns({"a3bb": product(F.col("a3b"), F.col("set_b")), "b3aa": product(F.col("b3a"), F.col("set_a"))})
+        parts = [("a3", 3, 1.0), ("b3", 3, 1.0), ("a3b", 4, 3.0), ("b3a", 4, 3.0), ("a3bb", 5, 6.0), ("b3aa", 5, 6.0)]
+    df = df.withColumn("dist", F.array_repeat(F.lit(0.0), top + 1))
+    for name, sets, times in parts:
+        df = df.withColumn("dist", add(F.col("dist"), F.col(name), _LEAST * sets, times))
+    return df.select(*names, "dist")
+
+
+def total_games(df: DataFrame, keys: list[str], best_of: int = 3) -> DataFrame:
+    """Distribution of the games of a match, one row for each total that sequences of sets can reach."""
+    sizes, reach = {x + y for x, y in SET_SCORES}, {0}
+    ends = set()
+    for n in range(1, best_of + 1):
+        reach = {g + s for g in reach for s in sizes}
+        ends |= reach if n > best_of // 2 else set()
+    # The outer form: for the other one Spark would put a filter on the array's size, with all products in it, below the products.
+    return games_distribution(df, best_of).select(*keys, F.posexplode_outer("dist").alias("total", "p")).where(F.col("total").isin(sorted(ends)))
+
+
+def over_lines(df: DataFrame, keys: list[str], lines: tuple[float, ...] = (21.5, 22.5), best_of: int = 3) -> DataFrame:
+    """The keys with the chance of more games than each line."""
+    above = lambda line: F.aggregate(F.slice("dist", int(line) + 2, 200), F.lit(0.0), lambda total, p: total + p)
+    return games_distribution(df, best_of).select(*keys, *[above(line).alias("p_over_" + str(line).replace(".", "_")) for line in lines])

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.odds import log_loss
+from ..tables import numbered, written
 
 #: Bucket edges (label, from, below) of the absolute difference and of the market's favourite; fixed values.
 DIFFERENCE = [("tiny", 0.0, 0.05), ("small", 0.05, 0.10), ("medium", 0.10, 0.20), ("huge", 0.20, 1.0)]
 FAVOURITE = [("toss-up", 0.5, 0.6), ("slight", 0.6, 0.7), ("clear", 0.7, 0.8), ("heavy", 0.8, 1.01)]
+#: The same of the women's tour; fixed values.
+DIFFERENCE_WTA = [("agree", 0.0, 0.05), ("mild", 0.05, 0.10), ("medium", 0.10, 0.15), ("large", 0.15, 0.25), ("huge", 0.25, 1.01)]
+FAVOURITE_WTA = [("toss-up", 0.50, 0.55), ("light", 0.55, 0.65), ("medium", 0.65, 0.75), ("heavy", 0.75, 0.85), ("very heavy", 0.85, 0.95), ("lock", 0.95, 1.01)]
 LEVELS, SURFACES = ["G", "M", "A"], ["Hard", "Clay", "Grass"]
 
 
@@ -74,26 +78,156 @@ def top_disagreements(priced: DataFrame, p: str = "p_model", n: int = 20) -> Dat
         F.desc("abs_difference"), "match_id").limit(n)
 
 
-def bootstrap(priced: DataFrame, by: list[str], p: str = "p_model", resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean, 95 per cent interval and share below zero of the resampled loss difference, per slice.
+#: Rows of a slice that are drawn in one block; draws that are made at a time.
+BLOCK, TOGETHER = 1 << 14, 1 << 20
+_MASK = 0xFFFFFFFF
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of numbers of 32 bits whose products stay below 2^63, so that SQL can follow it."""
+    for _ in range(2):
+        x = ((x >> np.uint64(16)) ^ x) * np.uint64(73244475) & np.uint64(_MASK)
+    return (x >> np.uint64(16)) ^ x
+
 
-    Groups are counted in blocks: a block of rows contributes, for each resample, Poisson(1) weights from its own
-    seeded stream, and sums of weights and weighted differences add up over blocks. So no slice is ever in one task.
+def block_counts(seed: list[int], rows: int, block: int, resamples: int, block_rows: int = BLOCK) -> np.ndarray:
+    """How many of a resample's ``rows`` draws fall into a block, for every resample.
+
+    Draws are split at random between the halves of the blocks, down to single ones. The split of a half has a seed of its
+    own, so each block finds its counts alone and those of all blocks together are the rows, draw for draw.
+    """
+    low, high = 0, -(-rows // block_rows)
+    counts = np.full(resamples, rows, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = (mid - low) * block_rows / (min(high * block_rows, rows) - low * block_rows)
+        first = np.random.default_rng([*seed, low, high]).binomial(counts, left)
+        low, high, counts = (low, mid, first) if block < mid else (mid, high, counts - first)
+    return counts
+
+
+def block_sums(code: int, seed: int, rows: int, block: int, d: np.ndarray, resamples: int, block_rows: int = BLOCK) -> np.ndarray:
+    """For every resample the sum of the block's draws from d: its rows' values in their order."""
+    counts = block_counts([seed, code], rows, block, resamples, block_rows)
+    base = _mixed(np.array([(code + seed + block) & _MASK], np.uint64))
+    own = _mixed(base ^ np.arange(resamples, dtype=np.uint64))
+    out = np.zeros(resamples)
+    step = max(1, TOGETHER // max(1, int(counts.max(initial=1))))
+    for low in range(0, resamples, step):
+        n = counts[low:low + step]
+        at = np.repeat(np.arange(len(n)), n)
+        draw = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+        place = (_mixed(own[low:low + step][at] ^ draw) * np.uint64(len(d))) >> np.uint64(32)
+        out[low:low + step] = np.bincount(at, d[place.astype(np.int64)], minlength=len(n))
+    return out
+
+
+def resampled(rows: DataFrame, by: list[str], value: str, order: list[str], resamples: int = 1000, seed: int = 42, block_rows: int = BLOCK) -> DataFrame:
+    """The groups' rows n, mean, and by resampling with n draws each: ci_low, ci_high (95 per cent) and p_better (share below 0).
+
+    Groups are numbered along an order and cut into blocks of ``block_rows`` rows; a task holds the values of one block. A
+    block gives one array of sums, and arrays add up over blocks. Groups under 30 rows have no interval (NaN).
     """
-    d = _losses(priced, p).select(*by, "match_id", (F.col("l_model") - F.col("l_market")).alias("d"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("match_id"), F.lit(64)))
-    fields = ", ".join(f"`{c}` {t}" for c, t in d.select(*by).dtypes)
+    kept = rows.select(*by, F.col(value).alias("__d"), *[c for c in order if c not in (*by, value)], *([F.col(value)] if value in order else []))
+    placed = numbered(kept, by, order, "__place", "__rows")
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    code = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
+    placed = placed.where(F.col("__rows") >= 30).select(*by, code.alias("__code"), "__rows", F.floor(F.col("__place") / block_rows).alias("__block"), "__place", "__d")
+    fields = ", ".join(f"`{c}` {t}" for c, t in placed.select(*by).dtypes)
 
     def block(key, table):
-        table = table.sort_values("match_id")
-        w = np.random.default_rng([seed, int(key[-1])]).poisson(1.0, (resamples, len(table)))
-        out = {c: [v] * resamples for c, v in zip(by, key)}
-        return pd.DataFrame(out | {"resample": range(resamples), "w": w.sum(axis=1).astype(float), "wd": w @ table["d"].to_numpy(), "n": len(table)})
-
-    sums = d.groupBy(*by, "block").applyInPandas(block, f"{fields}, resample int, w double, wd double, n long")
-    means = sums.groupBy(*by, "resample").agg((F.sum("wd") / F.sum("w")).alias("m"), F.sum("n").alias("n"))
-    out = means.groupBy(*by).agg(
-        F.max("n").alias("n"), F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("ci_low"),
-        F.percentile("m", F.lit(0.975)).alias("ci_high"), F.avg((F.col("m") < 0).cast("double")).alias("p_better"))
-    small = F.col("n") < 30
-    return out.select(*by, "n", *[F.when(small, F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high", "p_better")])
+        code, n, at = (int(k) for k in key[-3:])
+        sums = block_sums(code, seed, n, at, table.sort_values("__place")["__d"].to_numpy(float), resamples, block_rows)
+        return pd.DataFrame({c: [v] for c, v in zip(by, key)} | {"__rows": [n], "__sums": [sums.tolist()]})
+
+    sums = placed.groupBy(*by, "__code", "__rows", "__block").applyInPandas(block, f"{fields}, __rows long, __sums array<double>")
+    means = sums.select(*by, "__rows", F.posexplode("__sums").alias("__r", "__s")).groupBy(*by, "__rows", "__r").agg((F.sum("__s") / F.col("__rows")).alias("__m"))
+    ends = means.groupBy(*by).agg(F.avg("__m").alias("__mean"), F.percentile("__m", F.lit(0.025)).alias("__low"), F.percentile("__m", F.lit(0.975)).alias("__high"),
+                                  F.avg((F.col("__m") < 0).cast("double")).alias("__below"))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    same = [whole[c].eqNullSafe(ends[c]) for c in by]
+    none = F.lit(float("nan"))
+    return whole.join(ends, same, "left").select(*[whole[c] for c in by], "n", F.coalesce("__mean", none).alias("mean"), F.coalesce("__low", none).alias("ci_low"),
+                                                 F.coalesce("__high", none).alias("ci_high"), F.coalesce("__below", none).alias("p_better"))
+
+
+def bootstrap(priced: DataFrame, by: list[str], p: str = "p_model", resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean, 95 per cent interval and share below zero of the resampled loss difference, per slice."""
+    rows = _losses(priced, p).select(*by, "match_id", (F.col("l_model") - F.col("l_market")).alias("d"))
+    return resampled(rows, by, "d", ["match_id", "d"], resamples, seed)
+
+
+def slice_rows(priced: DataFrame, p: str = "p_model", levels: list[str] | None = None, surfaces: list[str] | None = None,
+               difference: list = DIFFERENCE, favourite: list = FAVOURITE, start: str | None = None) -> DataFrame:
+    """Every row once for each slice that it is in: all, its level, surface, both, and its buckets. No row meets another.
+
+    levels, surfaces: those that have a slice; an empty list stands for all that are there. start: a flag of rows with a
+    new player, which gives the slices cold and warm.
+    """
+    levels, surfaces = LEVELS if levels is None else levels, SURFACES if surfaces is None else surfaces
+    df = with_differences(_losses(priced, p), p)
+    among = lambda c, values: F.col(c).isin(values) if values else F.col(c).isNotNull()
+    level, surface = among("tourney_level", levels), among("surface", surfaces)
+    part = lambda name, value: F.struct(F.lit(name).alias("slice"), value.alias("value"))
+
+    def bucket(column, edges):
+        out = F.lit(None).cast("string")
+        for label, lo, hi in edges:
+            out = F.when((F.col(column) >= lo) & (F.col(column) < hi), label).otherwise(out)
+        return out
+
+    kinds = [part("all", F.lit("all")), part("level", F.when(level, F.col("tourney_level"))), part("surface", F.when(surface, F.col("surface"))),
+             part("level x surface", F.when(level & surface, F.concat_ws(" ", "tourney_level", "surface"))),
+             part("difference", bucket("abs_difference", difference)), part("favourite", bucket("favourite", favourite))]
+    if start:
+        kinds.append(part("start", F.when(F.col(start), "cold").when(~F.col(start), "warm")))
+    rows = df.select("match_id", "l_model", "l_market", F.explode(F.array(*kinds)).alias("s")).where("s.value IS NOT NULL")
+    return rows.select("s.slice", "s.value", "match_id", "l_model", "l_market", (F.col("l_model") - F.col("l_market")).alias("d"))
+
+
+#: Rows from which a slice is reported; levels and surfaces alone need fewer.
+LEAST = {"all": 20, "level": 20, "surface": 20}
+
+
+def slice_means(rows: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
+    """n, both losses and the gap of every slice of enough rows (30 where least does not say)."""
+    at = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (least or LEAST).items() for x in kv]), F.col("slice")), F.lit(30))
+    return rows.groupBy("slice", "value").agg(*_gaps()).where(F.col("n") >= at)
+
+
+def slice_report(priced: DataFrame, p: str = "p_model", resamples: int = 1000, seed: int = 42, **how) -> DataFrame:
+    """Every slice of enough rows with the interval of its gap and how often the model wins when rows are drawn anew."""
+    rows = written(slice_rows(priced, p, **how))
+    ends = resampled(rows, ["slice", "value"], "d", ["match_id", "d"], resamples, seed).drop("n", "mean")
+    return slice_means(rows).join(ends, ["slice", "value"])
+
+
+def compare_models(both: DataFrame, base: str = "p_base", warm: str = "p_warm", flag: str = "is_cold_start", least: int = 30) -> DataFrame:
+    """Two models and the market on the same rows: all, cold and warm starts, and the levels, with their share of cold starts."""
+    y = F.col("actual_a_won")
+    df = both.withColumns({"l_base": log_loss(F.col(base), y), "l_warm": log_loss(F.col(warm), y), "l_market": log_loss(F.col("fair_prob_a"), y)})
+    part = lambda name, value: F.struct(F.lit(name).alias("slice"), value.alias("value"))
+    kinds = F.array(part("all", F.lit("all")), part("start", F.when(F.col(flag), "cold").otherwise("warm")),
+                    part("level", F.when(F.col("tourney_level").isin(LEVELS), F.col("tourney_level"))))
+    rows = df.select("l_base", "l_warm", "l_market", F.col(flag).cast("double").alias("cold"), F.explode(kinds).alias("s")).where("s.value IS NOT NULL")
+    out = rows.groupBy("s.slice", "s.value").agg(F.count("*").alias("n"), F.avg("l_base").alias("base_ll"), F.avg("l_warm").alias("warm_ll"),
+                                                F.avg("l_market").alias("market_ll"), F.avg("cold").alias("cold_share"))
+    return out.where((F.col("n") >= least) | (F.col("slice") == "all")).withColumns({
+        "gain": F.col("base_ll") - F.col("warm_ll"), "base_gap": F.col("base_ll") - F.col("market_ll"), "warm_gap": F.col("warm_ll") - F.col("market_ll")})
+
+
+def disagreement_change(both: DataFrame, base: str = "p_base", warm: str = "p_warm", far: float = 0.25, big: float = 0.20, least: int = 30) -> DataFrame:
+    """How far both models are from the market, and what the second does where the first is far off (null under least rows)."""
+    off = lambda p: F.abs(F.col(p) - F.col("fair_prob_a"))
+    df = both.select(off(base).alias("b"), off(warm).alias("w"))
+    out = df.agg(F.count("*").alias("n"), F.avg("b").alias("base_mean"), F.avg("w").alias("warm_mean"), F.avg((F.col("b") > far).cast("double")).alias("base_far"),
+                 F.avg((F.col("w") > far).cast("double")).alias("warm_far"), F.count(F.when(F.col("b") > big, 1)).alias("n_big"),
+                 F.avg(F.when(F.col("b") > big, F.col("b"))).alias("big_base"), F.avg(F.when(F.col("b") > big, F.col("w"))).alias("big_warm"))
+    enough = lambda c: F.when(F.col("n_big") >= least, c)
+    return out.withColumns({"big_base": enough(F.col("big_base")), "big_warm": enough(F.col("big_warm"))}).withColumn(
+        "reduction_percent", 100 * (F.col("big_base") - F.col("big_warm")) / F.col("big_base"))
+
+
+def model_wins(report: DataFrame) -> DataFrame:
+    """Slices in which the model is more often better than not, the surest first."""
+    return report.where("p_better > 0.5").orderBy(F.desc("p_better"), "slice", "value")

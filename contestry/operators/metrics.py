@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odds import log_loss, reliability_bin
+from ..tables import numbered, running_before
 
 
 def _hit(p: Column, y: Column) -> Column:
@@ -58,31 +59,31 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Rank correlation with average ranks of ties."""
-    keys = by or []
+def average_ranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """by, column and the average rank of each value (from 1); rows are counted per value before values are put in order."""
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("n"))
+    return running_before(counts, by, [column], "n", "before").select(*by, column, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
 
-    def ranks(c: str):
-        counts = df.groupBy(*keys, c).agg(F.count("*").alias("n"))
-        before = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*keys, c, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
-    both = df.join(ranks(x), [*keys, x]).join(ranks(y), [*keys, y])
-    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
+def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """Rank correlation with average ranks of ties, of all rows or per group; rows with a null in either do not count."""
+    keys = by or []
+    df = df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).dropna(subset=["__x", "__y"])
+    both = df
+    for c in ("__x", "__y"):
+        ranks = average_ranks(df, keys, c, f"{c}_rank")
+        ranks = ranks.toDF(*[f"r_{k}" for k in keys], f"r{c}", f"{c}_rank")
+        same = F.col(c) == F.col(f"r{c}")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"r_{k}"))
+        both = both.join(ranks, same).drop(*[f"r_{k}" for k in keys], f"r{c}")
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__x_rank", "__y_rank").alias("rho"))
 
 
 def time_split(df: DataFrame, share: float = 0.5) -> DataFrame:
-    """Mark the first int(n * share) rows by date and match as training rows.
-
-    The place of a row is the number of rows on earlier days, from counts per day, and its place on its day.
-    """
-    days = df.groupBy("date").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
-    starts = days.select("date", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    total = days.agg(F.floor(F.sum("__n") * share).alias("__cut"))
-    on_day = F.row_number().over(Window.partitionBy("date").orderBy("match_id"))
-    return df.join(starts, "date").withColumn("__at", F.col("__before") + on_day).crossJoin(F.broadcast(total)).withColumn(
-        "is_train", F.col("__at") <= F.col("__cut")).drop("__before", "__at", "__cut")
+    """Mark the first int(n * share) rows by date and match as training rows."""
+    return numbered(df, [], ["date", "match_id"], "__at_place", "__rows").withColumn(
+        "is_train", F.col("__at_place") < F.floor(F.col("__rows") * share)).drop("__at_place", "__rows")
 
 
 def recency_weight(age_days: Column, half_life: float = 365.0) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, odds
+from . import temporal
 
 
 def clean_odds(raw: DataFrame) -> DataFrame:
@@ -26,30 +27,49 @@ def name_index(players: DataFrame) -> DataFrame:
     return players.select("player_id", names.normal_form(names.surname_first(F.col("name"))).alias("key"))
 
 
+def keyed_prices(prices: DataFrame) -> DataFrame:
+    """Prices with kw, the normal form of the winner, and lo and hi, the pair of normal forms in order.
+
+    Every spelling is normalised once, however many prices have it.
+    """
+    spelled = prices.select(F.explode(F.array("winner", "loser")).alias("name")).distinct().withColumn("key", names.normal_form(F.col("name")))
+    side = lambda name, key: spelled.select(F.col("name").alias(name), F.col("key").alias(key))
+    out = prices.join(side("winner", "kw"), "winner").join(side("loser", "kl"), "loser")
+    return out.withColumns({"lo": F.least("kw", "kl"), "hi": F.greatest("kw", "kl")}).drop("kl")
+
+
+def with_pair(predictions: DataFrame, index: DataFrame) -> DataFrame:
+    """Predictions with key_a and the pair of normal forms in order; players without a name go."""
+    key = lambda side: index.select(F.col("player_id").alias(f"player_{side}_id"), F.col("key").alias(f"key_{side}"))
+    p = predictions.join(key("a"), "player_a_id").join(key("b"), "player_b_id")
+    return p.withColumns({"lo": F.least("key_a", "key_b"), "hi": F.greatest("key_a", "key_b")}).drop("key_b")
+
+
 def join_odds(predictions: DataFrame, prices: DataFrame, index: DataFrame, days: int = 3) -> DataFrame:
     """Each prediction with the nearest price of the same two players within some days, if its winner agrees.
 
-    The pair of names, in order, is the equality key; the dates are a residual. Ties go to the smaller odds_id.
+    The pair of names, in order, and a cell of days are the equality key. Ties go to the smaller odds_id.
     The outcome is checked after the nearest price is chosen: a price that contradicts it drops the prediction.
     """
-    key = lambda side: index.select(F.col("player_id").alias(f"player_{side}_id"), F.col("key").alias(f"key_{side}"))
-    p = predictions.join(key("a"), "player_a_id").join(key("b"), "player_b_id").withColumns({
-        "lo": F.least("key_a", "key_b"), "hi": F.greatest("key_a", "key_b")})
-    o = prices.withColumns({"kw": names.normal_form(F.col("winner")), "kl": names.normal_form(F.col("loser"))}).select(
-        "odds_id", "day", "odds_w", "odds_l", "kw", F.least("kw", "kl").alias("lo"), F.greatest("kw", "kl").alias("hi"))
-    near = p.join(o, ["lo", "hi"]).withColumn("off", F.abs(F.datediff("day", "date"))).where(F.col("off") <= days)
-    # The smallest (distance, id) is a plain aggregate, so a pair that meets often needs no sort of its group.
-    best = near.groupBy(*predictions.columns, "key_a").agg(F.min_by(
-        F.struct("odds_id", "odds_w", "odds_l", "kw"), F.struct("off", "odds_id")).alias("o"))
-    a_won = F.col("o.kw") == F.col("key_a")
-    kept = best.where(a_won == (F.col("actual_a_won") == 1))
-    oa, ob = F.when(a_won, F.col("o.odds_w")).otherwise(F.col("o.odds_l")), F.when(a_won, F.col("o.odds_l")).otherwise(F.col("o.odds_w"))
-    return kept.select(*predictions.columns, F.col("o.odds_id").alias("odds_id"), oa.alias("odds_a"), ob.alias("odds_b")).withColumns({
+    near = temporal.nearest(with_pair(predictions, index), keyed_prices(prices), ["lo", "hi"], "date", "day", ["odds_w", "odds_l", "kw"], "odds_id", days)
+    a_won = F.col("kw") == F.col("key_a")
+    kept = near.where(a_won == (F.col("actual_a_won") == 1))
+    oa, ob = F.when(a_won, F.col("odds_w")).otherwise(F.col("odds_l")), F.when(a_won, F.col("odds_l")).otherwise(F.col("odds_w"))
+    return kept.select(*predictions.columns, "odds_id", oa.alias("odds_a"), ob.alias("odds_b")).withColumns({
         "implied_prob_a": odds.implied(F.col("odds_a")), "implied_prob_b": odds.implied(F.col("odds_b")),
         "fair_prob_a": odds.fair(F.col("odds_a"), F.col("odds_b")), "fair_prob_b": odds.fair(F.col("odds_b"), F.col("odds_a")),
         "vig": odds.margin(F.col("odds_a"), F.col("odds_b"))})
 
 
+def latest_price(predictions: DataFrame, prices: DataFrame, index: DataFrame, days: int | None = None) -> DataFrame:
+    """Each prediction with the last price of the pair up to its own day (null if there was none), whatever its age, or at most some days.
+
+    What was known on the day: later prices are not looked at, and neither is the outcome.
+    """
+    p, o = with_pair(predictions, index), keyed_prices(prices)
+    return temporal.asof(p, o, ["lo", "hi"], "date", "day", ["odds_id", "odds_w", "odds_l", "kw"], tie="odds_id", within=days)
+
+
 def value_bets(priced: DataFrame, p: str = "p_model", threshold: float = 0.05, fraction: float = 0.25) -> DataFrame:
     """Edge, expected value, whether to bet, and the stake, for side A."""
     chance, price = F.col(p), F.col("odds_a")

@@ -7,17 +7,19 @@ by players and the batch, not by the length of a track; tracks run in parallel.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import refit_date, refit_dates
 from ..functions.odds import expected
 from .reshape import level_k
 
 INITIAL, SCALE, WARMUP = 1500.0, 400.0, 30
+#: Ranks that count, and pairs from which a rank map is fitted as of a date; fixed values.
+MOST_RANK, LEAST_PAIRS = 1500, 100
 _FIELDS = "kind string, value string, match_id long, r_w double, r_l double, n_w long, n_l long, p_w double"
 
 
@@ -30,14 +32,29 @@ def tracks(matches: DataFrame, surfaces: bool = True, levels: dict[str, int] | N
                           level_k(F.col("tourney_level"), levels).alias("k"), "winner_rank", "loser_rank").select("t.*", "*").drop("t")
 
 
+def with_rank_map(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """mapped_w and mapped_l: what the ranks of both say, a + b ln(rank); null without a rank or a map."""
+    mapped = lambda c: F.when(F.col(c).isNotNull(), a + b * F.log(F.greatest(F.least(F.col(c), F.lit(MOST_RANK)), F.lit(1)).cast("double")))
+    return rows.withColumns({"mapped_w": mapped("winner_rank"), "mapped_l": mapped("loser_rank")})
+
+
+def with_rank_maps(rows: DataFrame, maps: DataFrame, start: str, every: int) -> DataFrame:
+    """The same with the map of the latest refit date that is not after a match; maps are a row for each refit date."""
+    near = rows.withColumn("as_of", refit_date(F.col("date"), start, every)).join(maps.select("as_of", "a", "b"), "as_of", "left")
+    return with_rank_map(near, F.col("a"), F.col("b")).drop("as_of", "a", "b")
+
+
 def rate(rows: DataFrame, rank_map: tuple[float, float] | None = None) -> DataFrame:
     """Fold tracks: ratings, earlier matches and expectation before each match.
 
-    With a rank map (a, b) a new player starts at a + b ln(rank), and while he has played less than the warm-up
-    the rank keeps its share; the update starts from that blend.
+    With a rank map (a, b), or rows from ``with_rank_maps``, a new player starts at the mapped rank, and while he has
+    played less than the warm-up the rank keeps its share; the update starts from that blend.
     """
-    def start(rating, rank, n):
-        mapped = rank_map[0] + rank_map[1] * math.log(rank) if rank_map and rank is not None else None
+    if "mapped_w" not in rows.columns:
+        a, b = (F.lit(x).cast("double") for x in rank_map or (None, None))
+        rows = with_rank_map(rows, a, b)
+
+    def start(rating, mapped, n):
         if rating is None:
             return INITIAL if mapped is None else mapped
         share = max(0.0, 1.0 - n / WARMUP)
@@ -47,11 +64,11 @@ def rate(rows: DataFrame, rank_map: tuple[float, float] | None = None) -> DataFr
         track, ratings, seen = None, {}, {}
         for batch in batches:
             out = []
-            for kind, value, match_id, w, l, k, rank_w, rank_l in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, value, match_id, w, l, k, map_w, map_l in zip(*(c.to_pylist() for c in batch.columns)):
                 if (kind, value) != track:
                     track, ratings, seen = (kind, value), {}, {}
                 n_w, n_l = seen.get(w, 0), seen.get(l, 0)
-                r_w, r_l = start(ratings.get(w), rank_w, n_w), start(ratings.get(l), rank_l, n_l)
+                r_w, r_l = start(ratings.get(w), map_w, n_w), start(ratings.get(l), map_l, n_l)
                 p = 1.0 / (1.0 + 10 ** ((r_l - r_w) / SCALE))
                 out.append((kind, value, match_id, r_w, r_l, n_w, n_l, p))
                 ratings[w], ratings[l] = r_w + k * (1 - p), r_l - k * (1 - p)
@@ -62,7 +79,7 @@ def rate(rows: DataFrame, rank_map: tuple[float, float] | None = None) -> DataFr
                                              names=["kind", "value", "match_id", "r_w", "r_l", "n_w", "n_l", "p_w"])
 
     ordered = rows.repartition("kind", "value").sortWithinPartitions("kind", "value", "date", "match_id")
-    return ordered.select("kind", "value", "match_id", "winner_id", "loser_id", "k", "winner_rank", "loser_rank").mapInArrow(fold, _FIELDS)
+    return ordered.select("kind", "value", "match_id", "winner_id", "loser_id", "k", "mapped_w", "mapped_l").mapInArrow(fold, _FIELDS)
 
 
 def per_match(rated: DataFrame) -> DataFrame:
@@ -97,18 +114,41 @@ def blend_sweep(matches: DataFrame, rated: DataFrame, weights: tuple[float, ...]
 
 
 def rank_pairs(matches: DataFrame, rated: DataFrame, established: int = WARMUP) -> DataFrame:
-    """(rank, rating) of established players before each match, on the overall track."""
-    rows = rated.where("kind = 'overall'").join(matches.select("match_id", "winner_rank", "loser_rank"), "match_id")
-    pairs = rows.select(F.explode(F.array(
+    """(date, rank, rating) of established players before each match, on the overall track."""
+    rows = rated.where("kind = 'overall'").join(matches.select("match_id", "date", "winner_rank", "loser_rank"), "match_id")
+    pairs = rows.select("date", F.explode(F.array(
         F.struct(F.col("winner_rank").alias("rank"), F.col("r_w").alias("rating"), F.col("n_w").alias("n")),
-        F.struct(F.col("loser_rank").alias("rank"), F.col("r_l").alias("rating"), F.col("n_l").alias("n")))).alias("p")).select("p.*")
-    return pairs.where(F.col("rank").between(1, 1500) & (F.col("n") >= established))
+        F.struct(F.col("loser_rank").alias("rank"), F.col("r_l").alias("rating"), F.col("n_l").alias("n")))).alias("p")).select("date", "p.*")
+    return pairs.where(F.col("rank").between(1, MOST_RANK) & (F.col("n") >= established))
 
 
-def rank_fit(pairs: DataFrame) -> DataFrame:
-    """Least squares of the rating on ln(rank): a, b, n, r2."""
+def rank_fit(pairs: DataFrame, least: int = 0) -> DataFrame:
+    """Least squares of the rating on ln(rank): a, b, n, r2; nulls if there are fewer pairs than least."""
     x, y = F.log(F.col("rank").cast("double")), F.col("rating")
-    return pairs.agg(F.regr_intercept(y, x).alias("a"), F.regr_slope(y, x).alias("b"), F.count("*").alias("n"), F.regr_r2(y, x).alias("r2"))
+    out = pairs.agg(F.regr_intercept(y, x).alias("a"), F.regr_slope(y, x).alias("b"), F.count("*").alias("n"), F.regr_r2(y, x).alias("r2"))
+    enough = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
+    return out.select(enough("a"), enough("b"), "n", enough("r2"))
+
+
+def rank_maps(pairs: DataFrame, start: str, end: str, every: int, least: int = LEAST_PAIRS) -> DataFrame:
+    """The same line for each refit date, from the pairs before it only: as_of, a, b, n, r2.
+
+    Pairs are added up once, to moments (count, sums, squares, cross products) per refit date after them; moments add
+    up over dates, so a date costs one row and not another pass. Dates with fewer pairs than least have no line.
+    """
+    # Sums of differences from usual values lose no digits.
+    x, y = F.log(F.col("rank").cast("double")) - 5.0, F.col("rating") - INITIAL
+    first = F.date_add(refit_date(F.col("date"), start, every), every)
+    early = F.date_sub(F.lit(start).cast("date"), every)
+    moments = pairs.select(F.coalesce(first, early).alias("as_of"), x.alias("x"), y.alias("y")).groupBy("as_of").agg(
+        F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(c) for c, e in (("x", "x"), ("y", "y"), ("xx", "x * x"), ("xy", "x * y"), ("yy", "y * y"))])
+    dates = pairs.sparkSession.createDataFrame([(d,) for d in refit_dates(start, end, every)], "d string").select(F.col("d").cast("date").alias("as_of"))
+    so_far = Window.orderBy("as_of")  # a row for each refit date
+    run = dates.join(moments, "as_of", "left").select("as_of", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in ("n", "x", "y", "xx", "xy", "yy")])
+    n, sxy, sxx, syy = F.col("n"), F.expr("xy - x * y / n"), F.expr("xx - x * x / n"), F.expr("yy - y * y / n")
+    line = run.where(n > 0).withColumns({"b": F.try_divide(sxy, sxx), "r2": F.try_divide(sxy * sxy, sxx * syy)})
+    line = line.withColumn("a", INITIAL + F.col("y") / n - F.col("b") * (F.col("x") / n + 5.0))
+    return run.select("as_of", "n").join(line.where(n >= least).select("as_of", "a", "b", "r2"), "as_of", "left").select("as_of", "a", "b", "n", "r2")
 
 
 def rank_ratings(fit: DataFrame, ranks: tuple[int, ...] = (1, 5, 10, 25, 50, 100, 200, 500)) -> DataFrame:

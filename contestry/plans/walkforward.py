@@ -4,25 +4,20 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probability
+from ..functions.dates import refit_date
 from ..functions.odds import shrink
-from ..operators import reshape, skills
-
-
-def refit_date(day: Column, start: str, every: int) -> Column:
-    """The latest grid date not after a day, by arithmetic: the grid is regular. Null before the grid."""
-    first = F.date_sub(F.lit(start).cast("date"), every)
-    n = F.floor(F.datediff(day, first) / every).cast("int")
-    return F.when(n >= 0, F.date_add(first, n * every))
+from ..operators import metrics, ratings, reshape, skills
+from ..tables import written
 
 
 def backtest(matches: DataFrame, start: str, end: str, *, every: int = 7, ridge: float = 1.0, least_obs: int = 10) -> DataFrame:
     """Point and match probabilities for canonical matches of the window, with skills fitted before each."""
     long = reshape.long_format(matches)
-    table = skills.fit(skills.gram(long, skills.grid(start, end, every)), ridge)
+    table = written(skills.fit(skills.gram(long, skills.grid(start, end, every)), ridge))  # read for both players and the means
     window = reshape.in_window(reshape.canonical_long(long), datetime.date.fromisoformat(start), datetime.date.fromisoformat(end))
     pairs = window.where(F.col("surface").isin("Hard", "Clay", "Grass")).select(
         "match_id", "date", "surface", "best_of", "score", F.col("player_id").alias("player_a_id"), F.col("opp_id").alias("player_b_id"),
@@ -45,5 +40,33 @@ def market_predictions(scored: DataFrame, alpha: float = 0.10) -> DataFrame:
     """Best-of-three market probabilities from shrunk point probabilities, beside the outcomes."""
     three = scored.where("best_of = 3").withColumns({"spw_a": shrink(F.col("spw_a"), alpha), "spw_b": shrink(F.col("spw_b"), alpha)})
     p = probability.with_markets(probability.with_probabilities(three), 3)
-    over = probability.over_line(probability.total_games(p, ["match_id", "hold_a", "hold_b", "tiebreak"]), ["match_id"])
-    return p.join(over, "match_id")
+    return probability.over_lines(p, p.columns)
+
+
+def ten_markets(predicted: DataFrame) -> DataFrame:
+    """All best-of-three markets of ``market_predictions`` against what the scores say, in one aggregation."""
+    is_ = lambda a, b: ((F.col("actual_a_sets") == a) & (F.col("actual_b_sets") == b)).cast("int")
+    over = lambda line: (F.col("actual_total_games") > line).cast("int")
+    rows = predicted.withColumns({"y20": is_(2, 0), "y21": is_(2, 1), "y02": is_(0, 2), "y12": is_(1, 2), "o21": over(21.5), "o22": over(22.5),
+                                  "y3": (F.col("actual_a_sets") + F.col("actual_b_sets") == 3).cast("int")})
+    return metrics.markets(rows, {
+        "match": ("p_match_bo3", "actual_a_won"), "a set for A": ("p_a_wins_at_least_one_set", "actual_a_set"), "a set for B": ("p_b_wins_at_least_one_set", "actual_b_set"),
+        "2-0": ("p_a_2_0", "y20"), "2-1": ("p_a_2_1", "y21"), "0-2": ("p_b_2_0", "y02"), "1-2": ("p_b_2_1", "y12"), "three sets": ("p_match_total_sets_3", "y3"),
+        "over 21.5": ("p_over_21_5", "o21"), "over 22.5": ("p_over_22_5", "o22")})
+
+
+def warm_predictions(matches: DataFrame, start: str, end: str, *, every: int | None = None, levels: dict[str, int] | None = None,
+                     least_pairs: int = 0) -> DataFrame:
+    """Blended predictions of the window with ranks mapped to ratings: by one line from before the window, or, with
+    ``every``, by a line refitted every so many days, each from the matches before it only."""
+    rows = ratings.tracks(matches, levels=levels)
+    first, last = datetime.date.fromisoformat(start), datetime.date.fromisoformat(end)
+    if every:
+        base = ratings.rate(ratings.tracks(matches, surfaces=False, levels=levels))
+        maps = written(ratings.rank_maps(ratings.rank_pairs(matches, base), start, end, every, least_pairs))
+        rated = ratings.rate(ratings.with_rank_maps(rows, maps, start, every))
+    else:
+        before = matches.where(F.col("date") < F.lit(first))
+        fit = ratings.rank_fit(ratings.rank_pairs(before, ratings.rate(ratings.tracks(before, surfaces=False, levels=levels))), least_pairs).first()
+        rated = ratings.rate(rows, (fit["a"], fit["b"]) if fit["a"] is not None else None)
+    return reshape.in_window(ratings.blended(matches, rated), first, last)

@@ -155,20 +155,67 @@ def rank_ratings(spark, d):
 
 
 def _warmstart(spark, d):
-    m, fit = matches(spark, d), _rank_fit(spark, d).first()
-    rank_map = (fit["a"], fit["b"]) if fit["a"] is not None else (ratings.INITIAL, 0.0)
-    return reshape.in_window(ratings.blended(m, ratings.rate(ratings.tracks(m), rank_map)), _FROM, _TO)
+    return walkforward.warm_predictions(matches(spark, d), START, END)
 
 
 def warmstart(spark, d):
     return rounded(_warmstart(spark, d).select("match_id", "player_a_id", "player_b_id", "p_a", "a_n_obs", "b_n_obs", "is_cold_start"))
 
 
+def _with_prices(spark, d, predictions):
+    index = pricing.name_index(reshape.latest_names(matches(spark, d)))
+    return pricing.join_odds(predictions, pricing.clean_odds(fixtures.raw_odds(spark, d)), index)
+
+
 def cold_warm(spark, d):
+    return rounded(audit.cold_warm(_with_prices(spark, d, _warmstart(spark, d))))
+
+
+def rank_maps(spark, d):
+    """The line from ranks to ratings as of every fourth week, from the matches before it."""
     m = matches(spark, d)
-    index = pricing.name_index(reshape.latest_names(m))
-    out = pricing.join_odds(_warmstart(spark, d), pricing.clean_odds(fixtures.raw_odds(spark, d)), index)
-    return rounded(audit.cold_warm(out))
+    pairs = ratings.rank_pairs(m, ratings.rate(ratings.tracks(m, surfaces=False)))
+    return rounded(ratings.rank_maps(pairs, START, END, 28), 6)
+
+
+def warmstart_asof(spark, d):
+    """Predictions with the rank line of the last refit before each match."""
+    out = walkforward.warm_predictions(matches(spark, d), START, END, every=28, least_pairs=ratings.LEAST_PAIRS)
+    return rounded(out.select("match_id", "player_a_id", "player_b_id", "p_a", "a_n_obs", "b_n_obs", "is_cold_start"))
+
+
+def _both_models(spark, d):
+    """Warmstart and plain blended predictions of the same priced matches, by day and players."""
+    m, keys = matches(spark, d), ["date", "player_a_id", "player_b_id"]
+    plain = reshape.in_window(ratings.blended(m, ratings.rate(ratings.tracks(m))), _FROM, _TO)
+    warm = _with_prices(spark, d, _warmstart(spark, d)).withColumnRenamed("p_a", "p_warm")
+    return warm.join(plain.select(*keys, F.col("p_a").alias("p_base")), keys)
+
+
+def compare_models(spark, d):
+    return rounded(audit.compare_models(_both_models(spark, d)))
+
+
+def disagreement_change(spark, d):
+    return rounded(audit.disagreement_change(_both_models(spark, d)))
+
+
+def tour_report(spark, d):
+    """The second tour's report: its own update sizes, guard and bucket edges, and every level that is there."""
+    warm = walkforward.warm_predictions(matches(spark, d), START, END, levels=reshape.K_BY_LEVEL_WTA, least_pairs=ratings.LEAST_PAIRS)
+    rows = audit.slice_rows(_with_prices(spark, d, warm), "p_a", levels=[], difference=audit.DIFFERENCE_WTA, favourite=audit.FAVOURITE_WTA, start="is_cold_start")
+    return rounded(audit.slice_means(rows, {"all": 1}))
+
+
+def after_warmup(spark, d):
+    """Plain and blended ratings over the test window, and without its first 90 days."""
+    m = matches(spark, d)
+    rated = reshape.in_window(ratings.blend_sweep(m, ratings.rate(ratings.tracks(m)), (0.0, 0.5)), _FROM, _TO)
+    spans = F.array(F.lit("window"), F.lit("after warm-up"))
+    model = F.when(F.col("weight") == 0, "overall").otherwise("blended").alias("model")
+    late = F.col("date") >= F.lit(_FROM + datetime.timedelta(days=90))
+    rows = rated.select(model, "p_a", "actual_a_won", F.explode(F.when(late, spans).otherwise(F.slice(spans, 1, 1))).alias("span"))
+    return rounded(metrics.summary(rows, "p_a", by=["model", "span"]))
 
 
 def match_prob(spark, d):
@@ -192,13 +239,13 @@ def total_games(spark, d):
     """By distinct serve chances: matches that share them share the distribution."""
     p = probability.with_probabilities(points(spark, d).select("spw_a", "spw_b").distinct())
     keys = ["spw_a", "spw_b"]
-    return rounded(probability.total_games(p, [*keys, "hold_a", "hold_b", "tiebreak"]).select(*keys, "total", "p"))
+    return rounded(probability.total_games(p, keys))
 
 
 def over_line(spark, d):
     p = probability.with_probabilities(points(spark, d).select("spw_a", "spw_b").distinct())
     keys = ["spw_a", "spw_b"]
-    return rounded(probability.over_line(probability.total_games(p, [*keys, "hold_a", "hold_b", "tiebreak"]), keys))
+    return rounded(probability.over_lines(p, keys))
 
 
 def logloss(spark, d):
@@ -271,6 +318,23 @@ def bootstrap_ci(spark, d):
     return rounded(audit.bootstrap(priced(spark, d), ["surface"]))
 
 
+def slice_report(spark, d):
+    """All slices with the interval of the loss difference, from rows drawn anew inside each slice."""
+    return rounded(audit.slice_report(priced(spark, d)))
+
+
+def model_wins(spark, d):
+    """The slices in which the model is more often better than the market."""
+    return rounded(audit.model_wins(audit.slice_report(priced(spark, d))))
+
+
+def latest_price(spark, d):
+    """The price of the same pair that was known on a match's day, however old, beside the match."""
+    index = pricing.name_index(reshape.latest_names(matches(spark, d)))
+    out = pricing.latest_price(canon(spark, d), pricing.clean_odds(fixtures.raw_odds(spark, d)), index)
+    return rounded(out.select("match_id", "date", "odds_id", "day", "odds_w", "odds_l"))
+
+
 def asof_refit(spark, d):
     rows = reshape.in_window(matches(spark, d), _FROM, _TO)
     return rows.select("match_id", "date", walkforward.refit_date(F.col("date"), START, 7).alias("as_of"))
@@ -287,6 +351,11 @@ def skill_gram(spark, d):
     return rounded(skills.gram(reshape.long_format(matches(spark, d)), [START]).drop("as_of"), 6)
 
 
+def skill_grid(spark, d):
+    """The same sums for every weekly fit date of the test window."""
+    return rounded(skills.gram(reshape.long_format(matches(spark, d)), skills.grid(START, END)), 6)
+
+
 def skill_fit(spark, d):
     return rounded(skills.fit(skills.gram(reshape.long_format(matches(spark, d)), [START])), 6)
 
@@ -307,6 +376,36 @@ def score_markets(spark, d):
     return rounded(walkforward.market_predictions(scored).select("match_id", "p_match_bo3", "p_a_2_0", "p_match_total_sets_3", "p_over_21_5", "p_over_22_5"), 6)
 
 
+def rank_correlation(spark, d):
+    """Model and market over all priced matches by their ranks."""
+    return rounded(metrics.spearman(priced(spark, d), "p_model", "fair_prob_a"))
+
+
+def ten_markets(spark, d):
+    """All ten markets with point chances shrunk, from a match's own serve chances."""
+    m = matches(spark, d)
+    canon_ = reshape.canonical(m)
+    facts = reshape.score_facts(canon_).select("match_id", "best_of", "actual_a_won", F.col("a_sets").alias("actual_a_sets"), F.col("b_sets").alias("actual_b_sets"),
+                                               F.col("total_games").alias("actual_total_games"), (F.col("a_sets") > 0).cast("int").alias("actual_a_set"),
+                                               (F.col("b_sets") > 0).cast("int").alias("actual_b_set"))
+    a_won = F.col("actual_a_won") == 1
+    p = points(spark, d).withColumnsRenamed({"spw_a": "w", "spw_b": "l"}).join(facts, "match_id").withColumns({
+        "spw_a": F.when(a_won, F.col("w")).otherwise(F.col("l")), "spw_b": F.when(a_won, F.col("l")).otherwise(F.col("w"))}).drop("w", "l")
+    return rounded(walkforward.ten_markets(walkforward.market_predictions(p)), 6)
+
+
+def score_market_eval(spark, d):
+    """The same for walk-forward predictions, which know nothing of the match."""
+    scored = walkforward.score_backtest(matches(spark, d), START, END)
+    return rounded(walkforward.ten_markets(walkforward.market_predictions(scored)), 6)
+
+
+def top_skills(spark, d):
+    """The five best servers of each surface before the window."""
+    table = skills.fit(skills.gram(reshape.long_format(matches(spark, d)), [START]))
+    return rounded(skills.best(table), 6)
+
+
 def time_split(spark, d):
     return metrics.time_split(canon(spark, d).select("match_id", "date"), 0.5).select("match_id", "is_train")
 
@@ -316,22 +415,30 @@ def split_ranges(spark, d):
     return split.groupBy("is_train").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"))
 
 
+def _rank_chances(spark, d):
+    """Chances from ranks at nine decimals, so that equal ones are equal on every engine."""
+    return canon(spark, d).withColumn("p_model", F.round("p_model", 9))
+
+
 def isotonic(spark, d):
-    split = metrics.time_split(canon(spark, d), 0.5)
+    split = metrics.time_split(_rank_chances(spark, d), 0.5)
     model = calibrate.fit(split.where("is_train"), "p_model")
-    return rounded(calibrate.apply(model, split.where("NOT is_train").select("match_id", "actual_a_won", "p_model"), "p_model"))
+    out = calibrate.apply(model, split.where("NOT is_train").select("match_id", "actual_a_won", "p_model"), "p_model")
+    return out.withColumn("calibrated", F.round("calibrated", 8))
 
 
 def isotonic_curve(spark, d):
-    return rounded(calibrate.curve(calibrate.fit(canon(spark, d), "p_model"), spark))
+    return rounded(calibrate.curve(calibrate.fit(_rank_chances(spark, d), "p_model"), spark))
 
 
 _ALL = [
     clean, long_format, canonical_pairs, date_window, level_k, unknown_levels, score_parse, score_outcomes, odds_clean, odds_coverage,
     name_norm, odds_match, odds_match_rate, value_kelly, prior_obs, player_obs, distinct_players, surface_counts, spw_means, elo_vanilla,
-    elo_surface, elo_blend_sweep, rank_fit, rank_ratings, warmstart, cold_warm, match_prob, set_score_dist, markets_bo3, markets_bo5,
+    elo_surface, elo_blend_sweep, rank_fit, rank_ratings, warmstart, cold_warm,
+    rank_maps, warmstart_asof, compare_models, disagreement_change, tour_report, after_warmup, ten_markets, score_market_eval, top_skills, match_prob, set_score_dist, markets_bo3, markets_bo5,
     total_games, over_line, logloss, reliability, market_reliability, book_compare, shrinkage, market_eval, slices_grouping_sets,
-    smallest_gaps, difference_buckets, favourite_buckets, directional, disagreement_tails, top_disagreements, bootstrap_ci, asof_refit,
-    recency_weights, skill_gram, skill_fit, skill_recovery, backtest, score_markets, time_split, split_ranges, isotonic, isotonic_curve,
+    smallest_gaps, difference_buckets, favourite_buckets, directional, disagreement_tails, top_disagreements, bootstrap_ci, slice_report, model_wins,
+    latest_price, rank_correlation, asof_refit,
+    recency_weights, skill_gram, skill_grid, skill_fit, skill_recovery, backtest, score_markets, time_split, split_ranges, isotonic, isotonic_curve,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
