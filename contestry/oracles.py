@@ -78,6 +78,7 @@ _PLAIN = "coalesce({r}, 1500.0)"
 _MAPPED = "a + b * ln(CAST({rank} AS DOUBLE))"
 _WARM = (f"CASE WHEN {{rank}} IS NULL THEN {_PLAIN} WHEN {{r}} IS NULL THEN {_MAPPED} WHEN {{n}} >= 30 THEN {{r}} "
          f"ELSE (1 - {{n}} / 30) * ({_MAPPED}) + (1 - (1 - {{n}} / 30)) * {{r}} END")
+_WARM_LINE = _WARM.replace("WHEN {rank} IS NULL", "WHEN {rank} IS NULL OR a IS NULL", 1)
 _BEFORE = "(SELECT * FROM track_rows WHERE track = '' AND date < DATE '2000-01-01')"
 _LEVELS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in {"G": 32, "M": 28, "A": 24, "F": 28, "D": 20, "C": 18, "S": 14, "O": 20}.items())
 _TABLES |= {
@@ -91,8 +92,10 @@ _TABLES |= {
       SELECT winner_rank AS rank, r_w AS rating, n_w AS n FROM folded_before JOIN m USING (match_id) UNION ALL SELECT loser_rank, r_l, n_l FROM folded_before JOIN m USING (match_id))
       WHERE rank BETWEEN 1 AND 1500 AND n >= 30""",
     "rank_line": "SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, count(*) AS n, regr_r2(y, x) AS r2 FROM rank_pairs",
-    "lists_warm": "SELECT lists.*, coalesce(a, 1500.0) AS a, coalesce(b, 0.0) AS b FROM lists CROSS JOIN rank_line",
-    "folded_warm": _fold("lists_warm", _WARM).format(self="folded_warm"),
+    "lists_warm": "SELECT lists.*, a, b FROM lists CROSS JOIN rank_line",
+    "folded_warm": _fold("lists_warm", _WARM_LINE).format(self="folded_warm"),
+    "lists_tour": "SELECT lists.*, CASE WHEN rank_line.n >= 100 THEN a END AS a, CASE WHEN rank_line.n >= 100 THEN b END AS b FROM lists CROSS JOIN rank_line",
+    "folded_tour": _fold("lists_tour", _WARM_LINE).format(self="folded_tour"),
 }
 
 
@@ -333,7 +336,7 @@ def _queries() -> dict[str, str]:
           round(avg(CAST(w > 0.25 AS INT)), 8) AS warm_far, count(*) FILTER (b > 0.2) AS n_big, round(avg(b) FILTER (b > 0.2), 8) AS big_base, round(avg(w) FILTER (b > 0.2), 8) AS big_warm,
           round(100 * (avg(b) FILTER (b > 0.2) - avg(w) FILTER (b > 0.2)) / avg(b) FILTER (b > 0.2), 8) AS reduction_percent
           FROM (SELECT abs(p_base - fair_prob_a) AS b, abs(p_a - fair_prob_a) AS w FROM both_)""",
-        "tour_report": f"{priced_warm} SELECT slice, value, {_GAPS} FROM ({tour}) WHERE value IS NOT NULL GROUP BY slice, value HAVING count(*) >= 30 OR slice = 'all'",
+        "tour_report": f"{priced_warm.replace('folded_warm', 'folded_tour')} SELECT slice, value, {_GAPS} FROM ({tour}) WHERE value IS NOT NULL GROUP BY slice, value HAVING count(*) >= 30 OR slice = 'all'",
         "after_warmup": f"""SELECT model, span, count(*) AS n, round(avg({loss('p')}), 8) AS log_loss, round(ln(2) - avg({loss('p')}), 8) AS gain,
           round(avg(CAST((p > 0.5) = (actual_a_won = 1) AS DOUBLE)), 8) AS accuracy FROM (SELECT model, span, actual_a_won, CASE WHEN actual_a_won = 1 THEN q ELSE 1 - q END AS p FROM (
           SELECT model, actual_a_won, date, CASE model WHEN 'overall' THEN p_overall ELSE 0.5 * p_surface + 0.5 * p_overall END AS q FROM ({_blended('folded')}), (VALUES ('overall'), ('blended')) AS v(model)
