@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workbooks import load_sheets, typed_day
+
 _INTEGERS = ("match_id", "match_num", "tourney_date", "best_of", "winner_id", "loser_id", "winner_rank", "loser_rank")
 _DOUBLES = ("w_svpt", "w_1stWon", "w_2ndWon", "l_svpt", "l_1stWon", "l_2ndWon", "w_SvGms", "l_SvGms")
 _STRINGS = ("tourney_id", "tourney_name", "tourney_level", "surface", "winner_name", "loser_name", "score")
@@ -50,14 +52,27 @@ def repeated_ids(matches: DataFrame) -> DataFrame:
 
 
 def load_odds(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Yearly price files as CSV or Parquet, ready for ``clean_odds``; spreadsheets are converted before.
+    """Yearly price files as CSV, Parquet or spreadsheets (their first sheet), ready for ``clean_odds``.
 
-    A price is named by a hash of what it is about, so it has the same odds_id however the files are read.
+    Days may be written as 2024-01-31 or 31/01/2024 or, in sheets, be serial numbers; a day that cannot be read is null,
+    and ``unread_days`` shows such rows before cleaning drops them. A price is named by a hash of what it is about, so it
+    has the same odds_id however the files are read.
     """
-    raw = _scan(spark, paths, ODDS_COLUMNS)
+    text = {**ODDS_COLUMNS, "Date": "string"}
+    sheets, others = [p for p in paths if p.lower().endswith(".xlsx")], [p for p in paths if not p.lower().endswith(".xlsx")]
+    frames = [_scan(spark, others, text).withColumn("Date", typed_day(F.col("Date")))] if others else []
+    if sheets:
+        raw = load_sheets(spark, sheets, list(text))
+        frames.append(raw.select(typed_day(F.col("Date"), F.col("base")).alias("Date"), *[F.expr(f"try_cast(`{c}` AS {t})").alias(c) for c, t in text.items() if c != "Date"]))
+    raw = reduce(lambda a, b: a.unionByName(b), frames)
     return raw.withColumn("odds_id", F.xxhash64("Date", "Tournament", "Round", "Winner", "Loser"))
 
 
+def unread_days(odds: DataFrame) -> DataFrame:
+    """Price rows whose day could not be read."""
+    return odds.where(F.col("Date").isNull())
+
+
 def load_predictions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
