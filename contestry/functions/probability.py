@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,19 +120,30 @@ def set_score_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 _LEAST, _SPAN = 6, 8
 
 
-def product(a: Column, b: Column) -> Column:
-    """Product of two polynomials, given as arrays of coefficients from the lowest power."""
-    return F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), lambda k: F.aggregate(
-        F.sequence(F.greatest(k - F.size(b) + 1, F.lit(0)), F.least(k, F.size(a) - 1)), F.lit(0.0),
-        lambda total, i: total + F.get(a, i) * F.get(b, k - i)))
+def product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Products of polynomials, row by row: coefficients from the lowest power, a polynomial a row."""
+    out = np.zeros((len(p), p.shape[1] + q.shape[1] - 1))
+    for k in range(q.shape[1]):
+        out[:, k:k + p.shape[1]] += p * q[:, k:k + 1]
+    return out
 
 
-def add(a: Column, b: Column, shift: int = 0, times: float = 1.0) -> Column:
-    """a plus a multiple of b whose powers are raised by shift; a's length covers both.
+def match_polynomials(a: np.ndarray, b: np.ndarray, best_of: int) -> np.ndarray:
+    """Chances of 0, 1, 2, ... games of a match, from those of sets of 6 to 13 games that A and B win.
 
-    Both are named columns and looked at twice, so that Spark computes them once and not for each coefficient.
+    Each sequence of sets is a product of A(x) and B(x); those that end a match are, with n sets to win and k lost,
+    (n - 1 + k over k) A^n B^k and the same for B.
     """
-    return F.transform(a, lambda x, i: x + times * F.when((i >= shift) & (i - shift < F.size(b)), F.get(b, i - shift)).otherwise(0.0))
+    need, out = best_of // 2 + 1, np.zeros((len(a), (_LEAST + _SPAN - 1) * best_of + 1))
+    for won, lost in ((a, b), (b, a)):
+        power = won
+        for _ in range(need - 1):
+            power = product(power, won)
+        for k in range(need):
+            low = _LEAST * (need + k)
+            out[:, low:low + power.shape[1]] += comb(need - 1 + k, k) * power
+            power = product(power, lost)
+    return out
 
 
 def set_polynomials(df: DataFrame) -> DataFrame:
@@ -147,31 +160,20 @@ def set_polynomials(df: DataFrame) -> DataFrame:
 
 
 def games_distribution(df: DataFrame, best_of: int = 3) -> DataFrame:
-    """Add dist: the chances of 2, 3, ... games of a match in all, by index, from set polynomials in the row.
+    """Add dist: the chances of 0, 1, 2, ... games of a match in all, by index.
 
-    With A(x) and B(x) for the sets of either side, each sequence of sets is a product of them; those that end a
-    match are A^2 + B^2 + 2 AB (A + B), or with three sets to win A^3 (1 + 3 B + 6 B^2) and the same for B. A row's
-    work stays in the row: nothing is joined or regrouped. A side that never wins a set has a zero polynomial.
+    A row's work stays in the row and nothing is joined or regrouped; rows are multiplied out a batch at a time. A side
+    that never wins a set has a zero polynomial, and a null chance gives a null.
     """
-    names = list(df.columns)
-    need = best_of // 2 + 1
-    top = (_LEAST + _SPAN - 1) * best_of
-    df = set_polynomials(df).withColumns({"aa": product(F.col("set_a"), F.col("set_a")), "bb": product(F.col("set_b"), F.col("set_b"))})
-    if need == 1:
-        parts = [("set_a", 1, 1.0), ("set_b", 1, 1.0)]
-    elif need == 2:
-        df = df.withColumns({"ab": product(F.col("set_a"), F.col("set_b")), "either": add(F.col("set_a"), F.col("set_b"))})
-        df = df.withColumn("third", product(F.col("ab"), F.col("either")))
-        parts = [("aa", 2, 1.0), ("bb", 2, 1.0), ("third", 3, 2.0)]
-    else:
-        df = df.withColumns({"a3": product(F.col("aa"), F.col("set_a")), "b3": product(F.col("bb"), F.col("set_b"))})
-        df = df.withColumns({"a3b": product(F.col("a3"), F.col("set_b")), "b3a": product(F.col("b3"), F.col("set_a"))})
-        df = df.withColumns({"a3bb": product(F.col("a3b"), F.col("set_b")), "b3aa": product(F.col("b3a"), F.col("set_a"))})
-        parts = [("a3", 3, 1.0), ("b3", 3, 1.0), ("a3b", 4, 3.0), ("b3a", 4, 3.0), ("a3bb", 5, 6.0), ("b3aa", 5, 6.0)]
-    df = df.withColumn("dist", F.array_repeat(F.lit(0.0), top + 1))
-    for name, sets, times in parts:
-        df = df.withColumn("dist", add(F.col("dist"), F.col(name), _LEAST * sets, times))
-    return df.select(*names, "dist")
+    @F.arrow_udf("array<double>")
+    def dist(a: pa.Array, b: pa.Array) -> pa.Array:
+        # Null chances arrive as NaN.
+        found = match_polynomials(*(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, _SPAN) for x in (a, b)), best_of)
+        known = ~np.isnan(found).any(axis=1)
+        ends = np.concatenate([[0], np.cumsum(known * found.shape[1])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~known, False)), pa.array(found[known].ravel()))
+
+    return set_polynomials(df).withColumn("dist", dist("set_a", "set_b")).select(*df.columns, "dist")
 
 
 def total_games(df: DataFrame, keys: list[str], best_of: int = 3) -> DataFrame:
@@ -181,7 +183,7 @@ def total_games(df: DataFrame, keys: list[str], best_of: int = 3) -> DataFrame:
     for n in range(1, best_of + 1):
         reach = {g + s for g in reach for s in sizes}
         ends |= reach if n > best_of // 2 else set()
-    # The outer form: for the other one Spark would put a filter on the array's size, with all products in it, below the products.
+    # The outer form: for the other one Spark filters by the array's size first, and so makes every distribution twice.
     return games_distribution(df, best_of).select(*keys, F.posexplode_outer("dist").alias("total", "p")).where(F.col("total").isin(sorted(ends)))
 
 

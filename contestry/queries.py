@@ -12,6 +12,7 @@ from .functions.names import normal_form, surname_first
 from .operators import audit, calibrate, metrics, pricing, ratings, reshape, skills
 from .plans import walkforward
 from .sources import files, fixtures
+from .tables import spread
 
 #: Test window of the derived tables.
 START, END = "2000-01-01", "2000-10-01"
@@ -35,7 +36,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     """Serve chances of both players of a match from its own counts, inside [0.35, 0.85]."""
     m = matches(spark, d).where("w_svpt > 0 AND l_svpt > 0")
     share = lambda x: F.greatest(F.least(F.try_divide(F.col(f"{x}_1stWon") + F.col(f"{x}_2ndWon"), F.col(f"{x}_svpt")), F.lit(0.85)), F.lit(0.35))
-    return m.select("match_id", share("w").alias("spw_a"), share("l").alias("spw_b"))
+    return spread(m.select("match_id", share("w").alias("spw_a"), share("l").alias("spw_b")), "match_id")
 
 
 def rounded(df: DataFrame, places: int = 8) -> DataFrame:
@@ -237,13 +238,13 @@ def markets_bo5(spark, d):
 
 def total_games(spark, d):
     """By distinct serve chances: matches that share them share the distribution."""
-    p = probability.with_probabilities(points(spark, d).select("spw_a", "spw_b").distinct())
+    p = probability.with_probabilities(spread(points(spark, d).select("spw_a", "spw_b").distinct(), "spw_a", "spw_b"))
     keys = ["spw_a", "spw_b"]
     return rounded(probability.total_games(p, keys))
 
 
 def over_line(spark, d):
-    p = probability.with_probabilities(points(spark, d).select("spw_a", "spw_b").distinct())
+    p = probability.with_probabilities(spread(points(spark, d).select("spw_a", "spw_b").distinct(), "spw_a", "spw_b"))
     keys = ["spw_a", "spw_b"]
     return rounded(probability.over_lines(p, keys))
 

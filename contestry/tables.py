@@ -26,6 +26,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as shuffles have, for work that is much for each row.
+
+    Spark sizes tasks by bytes, also when it joins small ones after a shuffle, unless the number is stated.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def dealt(df: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Rows range-partitioned and sorted by their group and an order, written, with __g (group), __part and __at.
 

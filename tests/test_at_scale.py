@@ -148,6 +148,13 @@ def test_totals_from_polynomials(spark, best_of):
         assert over[pair] == pytest.approx([sum(p for g, p in want.items() if g > x) for x in (9.5, 21.5)], abs=1e-12)
 
 
+def test_totals_of_unknown_chances(spark):
+    df = probability.with_probabilities(spark.createDataFrame([(0.6, None), (0.5, 0.5), (None, None)], "spw_a double, spw_b double"))
+    got = probability.over_lines(df, ["spw_a"], (21.5,)).collect()
+    assert [r.p_over_21_5 is None for r in got] == [True, False, True]
+    assert probability.total_games(df, ["spw_a"]).count() == 28 and probability.total_games(df.where("false"), ["spw_a"]).count() == 0
+
+
 def test_totals_need_no_exchange(spark):
     df = probability.with_probabilities(spark.createDataFrame([(0.6, 0.6)], "spw_a double, spw_b double"))
     assert "Exchange" not in probability.total_games(df, ["spw_a"])._jdf.queryExecution().executedPlan().toString()
