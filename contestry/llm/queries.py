@@ -13,16 +13,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents. Null and empty texts have no words; null ids, ties and repeated rows as in ``decontaminate``."""
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by 2-word shingles. Null and empty texts are alone; other cases as in ``neardup``."""
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, threshold=0.8).select(
         "doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 and more between all vectors. Null, zero and non-finite vectors are alone; other cases as in ``embeddings``."""
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
@@ -33,24 +36,29 @@ def _vocabulary() -> tuple[str, str]:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and what they decode to, as digests. Null texts count as empty; other cases as in ``bpe``."""
     return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), *_vocabulary())
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a model of the labelled rows that are not held out; nulls and empty tables as in ``toxicity``."""
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted")
 
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all urls. Null urls and those without a scheme have an empty host and path; other cases as in ``urlfilter``."""
     return urlfilter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back. Null pages count as empty; other cases as in ``warc``."""
     return warc.round_trip(_read(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share with a smaller doc_id. Null and empty texts have none; other cases as in ``passages``."""
     return passages.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
@@ -67,6 +75,7 @@ def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a smaller doc_id has, and what is left. Null texts count as empty; other cases as in ``suffixes``."""
     return suffixes.repeated_bytes(_read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
