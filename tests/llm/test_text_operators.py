@@ -290,6 +290,91 @@ def test_passages_at_the_stated_identity_and_of_frequent_seeds(spark):
     assert set(want) <= found, set(want) - found
 
 
+
+def _words(rows):
+    return {i: (text or "").lower().split() for i, text in rows}
+
+
+def _found(spark, rows, partitions=None):
+    df = table(spark, rows)
+    found = {}
+    for r in passages.repeated_passages(df.repartition(partitions) if partitions else df).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.s, r.e))
+    return found
+
+
+def _repeats_by_force(rows, k=passages.PIECE, least=passages.PASSAGE):
+    """Words in runs of a passage's length that k-word strings of smaller documents cover."""
+    words, seen, out = _words(rows), set(), {}
+    for i in sorted(words):
+        grams = [tuple(words[i][j:j + k]) for j in range(len(words[i]) - k + 1)]
+        hit = sorted({p for j, g in enumerate(grams) if g in seen for p in range(j, j + k)})
+        run = []
+        for p in [*hit, None]:
+            if run and p != run[-1] + 1:
+                if len(run) >= least:
+                    out.setdefault(i, set()).update(run)
+                run = []
+            run.append(p)
+        seen.update(grams)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 32])
+def test_exact_passages_whatever_else_has_their_seeds(spark, partitions):
+    rng = random.Random(12)
+    word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(10):
+        base, one = 1000 * k, word(rng.choice([50, 60, 80]))
+        # Smaller and larger neighbours of the first copy hold every short seed, in fragments that are no pieces.
+        for f, j in enumerate(range(0, len(one), 9)):
+            rows += [(base + f, " ".join(word(20) + one[j:j + 12] + word(20))), (base + 300 + f, " ".join(word(20) + one[j:j + 12] + word(20)))]
+        rows += [(base + 200, " ".join(word(30) + one + word(30))), (base + 500, " ".join(word(40) + one + word(10)))]
+        want[base + 500] = set(range(40, 40 + len(one)))
+    found = _found(spark, rows, partitions)
+    assert set(found) == set(want)
+    for i, words in want.items():
+        assert words <= found[i] and len(found[i] - words) <= 4, i
+
+
+def test_passages_go_on_beyond_the_first_look(spark):
+    rng = random.Random(13)
+    word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, want = [], {}
+    for k, n in enumerate([60, 100, 500, 900]):
+        base, one = 10000 * k, word(n)
+        mid = n // 2
+        two = [f"x{base}-{i}" if (i - mid) % 12 == 11 else w for i, w in enumerate(one)]  # no 15 words alike
+        # All short seeds but a few in the middle are in the smallest and in the nearest smaller document too.
+        for f, j in enumerate(j for j in range(0, n, 4) if j + 7 <= mid or j >= mid + 7):
+            rows += [(base + f, " ".join(word(20) + one[j:j + 7] + word(20))), (base + 3000 + f, " ".join(word(20) + one[j:j + 7] + word(20)))]
+        rows += [(base + 2000, " ".join(word(30) + one + word(30))), (base + 5000, " ".join(word(40) + two + word(10)))]
+        want[base + 5000] = set(range(40, 40 + n))
+    found = _found(spark, rows)
+    assert set(found) == set(want)
+    for i, words in want.items():
+        assert len(words - found[i]) <= 12 and len(found[i] - words) <= 4, (i, len(words), len(found[i]))
+
+
+def test_exact_passages_against_brute_force(spark):
+    rng = random.Random(14)
+    stock = [[f"w{rng.randrange(6)}" for _ in range(rng.choice([20, 40, 70]))] for _ in range(12)]
+    rows = []
+    for i in range(120):  # few words and pieces that recur within texts, so that matches overlap
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            piece = rng.choice(stock)
+            a = rng.randrange(len(piece) // 2)
+            text += piece[a:a + rng.randrange(10, 70)] + [f"w{rng.randrange(6)}" for _ in range(rng.randrange(8))]
+        rows.append((i, " ".join(text)))
+    rows += [(200, None), (201, ""), (202, "a " * 500), (203, "a " * 30 + "b " + "a " * 90)]
+    found, want = _found(spark, rows), _repeats_by_force(rows)
+    assert want
+    for i, words in want.items():
+        assert words <= found.get(i, set()), i
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     plain, bad = [f"p{i}" for i in range(300)], ["vile", "rotten", "nasty"]
