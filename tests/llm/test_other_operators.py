@@ -36,6 +36,64 @@ def test_near_vectors(spark, monkeypatch, block):
     assert all(got[i] == (0, i, True) for i in range(300, 307))
 
 
+def _topic(n, planted, dim=32):
+    """Vectors of one topic of mutual cosine 0.8, some of them with a partner of cosine 0.91 or so."""
+    rng = np.random.default_rng(5)
+    axis = np.zeros(dim)
+    axis[0] = 1
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def off_axis(k):
+        v = rng.normal(size=(k, dim))
+        v[:, 0] = 0
+        return unit(v)
+
+    own = off_axis(n)
+    part = np.sqrt(0.8) * axis + np.sqrt(0.2) * own
+    other = unit(0.55 * own[:planted] + np.sqrt(1 - 0.55**2) * unit(off_axis(planted)))
+    return np.concatenate([part, np.sqrt(0.8) * axis + np.sqrt(0.2) * other])
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_links_inside_a_dense_topic(spark, copies):
+    """Rounds go on until few links are missed, also beside a group of copies that every pass finds."""
+    x = _topic(800, 150)
+    x = np.concatenate([x, np.repeat(x[:1] * [-1.0], copies, axis=0)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(axis=1) - 1
+
+    def recall(**how):
+        got = np.zeros(len(x), np.int64)
+        for r in embeddings.near_vectors(df, window=8, **how).collect():
+            got[r.vec_id] = r.n_links
+        assert (got <= near).all()
+        return got[:950].sum() / near[:950].sum()
+
+    assert near[:950].sum() > 1000
+    assert recall() >= 0.95
+    if not copies:
+        assert recall(passes=4, missed=1.0) < 0.8
+
+
+def test_repeated_vectors_and_other_lengths(spark):
+    u, v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, u), (2, v), (5, u), (5, v), (7, w), (7, None), (8, [1.0, 1.0]), (9, [2.0, 2.0]), (10, [1.0, 1.0, 1.0, 1.0]), (None, u), (None, u)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (5, 1, 1, False), (5, 1, 1, False), (7, 0, 7, True), (7, 0, 7, True),
+                          (8, 1, 8, True), (9, 1, 8, False), (10, 0, 10, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_very_long_vectors(spark):
+    x = np.random.default_rng(3).normal(size=(3, 20_000))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate([*x, x[1] * 2])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (2, 0, 2), (3, 1, 1)]
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(none).collect() == []
