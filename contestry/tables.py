@@ -19,10 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: computed once, and a lost executor costs no recomputation."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: computed once, and a lost executor costs no recomputation.
+
+    by: columns whose values have a folder each, so that their rows are read alone; their names must be the last ones.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -58,6 +58,16 @@ def test_past_predictions_do_not_see_the_future(small):
     assert all(whole[r.match_id] == r.p_a for r in ratings.blended(part, ratings.rate(ratings.tracks(part))).collect())
 
 
+@pytest.mark.parametrize("rank_map", [None, (2000.0, -100.0)])
+def test_fold_by_blocks_equals_one_block(small, rank_map):
+    want = sorted(map(tuple, ratings.rate(ratings.tracks(small), rank_map).collect()))
+    rows = ratings.rate(ratings.tracks(small), rank_map, block_rows=2 * small.count() // 7 + 1)
+    assert sorted(map(tuple, rows.collect())) == want and len(rows.columns) == 8
+    one_day = small.withColumn("date", F.lit("2000-01-03").cast("date"))
+    want = sorted(map(tuple, ratings.rate(ratings.tracks(one_day), rank_map).collect()))
+    assert sorted(map(tuple, ratings.rate(ratings.tracks(one_day), rank_map, block_rows=small.count() // 2).collect())) == want
+
+
 def test_empty_fold(small):
     none = small.where("false")
     assert ratings.blended(none, ratings.rate(ratings.tracks(none))).count() == 0
