@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.odds import log_loss, reliability_bin
-from ..tables import numbered, running_before
+from ..tables import numbered, running_before, written
 
 
 def _hit(p: Column, y: Column) -> Column:
@@ -68,7 +68,8 @@ def average_ranks(df: DataFrame, by: list[str], column: str, name: str) -> DataF
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Rank correlation with average ranks of ties, of all rows or per group; rows with a null in either do not count."""
     keys = by or []
-    df = df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).dropna(subset=["__x", "__y"])
+    # Written, as the ranks of both columns and their join each read the rows.
+    df = written(df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).dropna(subset=["__x", "__y"]))
     both = df
     for c in ("__x", "__y"):
         ranks = average_ranks(df, keys, c, f"{c}_rank")

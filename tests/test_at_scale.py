@@ -186,6 +186,25 @@ def test_resampling_is_that_of_rows(spark, block):
     assert audit.resampled(df.where("false"), ["s"], "d", ["match_id"]).count() == 0
 
 
+def test_draws_of_several_blocks(monkeypatch):
+    """As many draws as counted, each row as likely as another, with the variance of drawing with replacement."""
+    d = np.random.default_rng(7).normal(size=100)
+    sums = audit.block_sums(5, 42, 730, 3, d, 4000, 100)
+    counts = audit.block_counts([42, 5], 730, 3, 4000, 100)
+    assert (audit.block_sums(5, 42, 730, 3, np.ones(100), 4000, 100) == counts).all()
+    assert sums.mean() == pytest.approx(100 * d.mean(), abs=4 * 10 * d.std() / math.sqrt(4000))
+    assert (sums - counts * d.mean()).var() == pytest.approx(100 * d.var(), rel=0.12)
+    monkeypatch.setattr(audit, "_mixed", None)  # the slow hash that SQL follows is for slices of one block
+    assert (audit.block_sums(5, 42, 730, 3, d, 4000, 100) == sums).all()
+
+
+def test_prices_are_joined_once(spark, sf):
+    """What the resampling and the rank correlation read again and again is a written table."""
+    for name in ("bootstrap_ci", "rank_correlation"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "orderkey" not in plan
+
+
 def pooled(rows):
     blocks = []
     for x, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
