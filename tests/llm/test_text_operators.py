@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +339,25 @@ def test_exact_passages_whatever_else_has_their_seeds(spark, partitions):
         assert words <= found[i] and len(found[i] - words) <= 4, i
 
 
+def test_fuzzy_passages_of_further_holders(spark, monkeypatch):
+    """All seeds of a fuzzy repeat are in the smallest and in the nearest smaller document too, in other orders."""
+    one = [f"w{i}" for i in range(80)]
+    two = [f"x{i}" if i % 8 == 7 else w for i, w in enumerate(one)]
+    runs = [one[i:i + 7] for i in range(0, 80, 8)]
+    filled = lambda name, order: " ".join(w for k in order for w in [*runs[k], *(f"{name}{k}-{i}" for i in range(30))])
+    rows = [(1, filled("a", [3, 0, 8, 5, 1, 9, 6, 2, 7, 4])), (5, " ".join(one)), (8, filled("b", [9, 7, 5, 3, 1, 8, 6, 4, 2, 0])), (9, " ".join(two))]
+    found = lambda **how: {r.doc_id: (r.s, r.e, r.ref_doc_ids) for r in passages.repeated_passages(table(spark, rows), **how).collect()}
+    assert 9 not in found()
+    assert found(every=True)[9] == (0, 79, [5])
+    left = passages.remove_passages(table(spark, rows), every=True).collect()
+    assert {r.doc_id: r.text for r in left}[9].split() == two[79:]
+    h, doc = np.array([1, 1, 1, 1, 2, 2], np.uint32), np.array([1, 1, 4, 7, 3, 5])
+    monkeypatch.setattr(passages, "TOGETHER", 2)
+    pairs = list(passages._all_matches(h, doc, np.zeros(6, np.uint32), np.arange(6, dtype=np.uint32)))
+    assert all(len(x[0]) <= 2 for x in pairs)
+    assert sorted((a, b) for x in pairs for a, b in zip(x[2].tolist(), x[5].tolist())) == [(2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (5, 4)]
+
+
 def test_passages_go_on_beyond_the_first_look(spark):
     rng = random.Random(13)
     word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
