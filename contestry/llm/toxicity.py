@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _expand
-from .common import giving_back, pick, small_batches
+from .bpe import PLACES, _expand, _slices
+from .common import give_back, giving_back, pick, small_batches
 from .neardup import _mix
 
 #: Labelled rows of the sample, neighbours, examples of a block, blocks that are opened first.
@@ -43,6 +43,14 @@ def _in_words() -> np.ndarray:
 
 def word_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, word and how often it is there, in order; words are runs of letters and digits in small letters, named by 64-bit hashes."""
+    # Some texts at a time, as what is built over characters takes many times their size.
+    parts = [(s.start, *_word_counts(texts[s])) for s in _slices(np.array([len(t or "") for t in texts], np.int64), PLACES)]
+    text, word, n = ([x[k] for x in parts] for k in (1, 2, 3))
+    return (np.concatenate([*(first + t for (first, *_), t in zip(parts, text)), np.empty(0, np.int64)]),
+            np.concatenate([*word, np.empty(0, np.uint64)]), np.concatenate([*n, np.empty(0, np.int64)]))
+
+
+def _word_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = [(t or "").lower() for t in texts]
     code = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
     inside = np.concatenate([[False], _in_words()[code], [False]])
@@ -51,9 +59,12 @@ def word_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     power = np.cumprod(np.full(int(size.max()), _POWER))
-    flat = _expand(start, size)
-    key = (code[flat].astype(np.uint64) + np.uint64(1)) * power[flat - np.repeat(start, size)]
-    word = _mix(np.add.reduceat(key, np.cumsum(size) - size))
+    key = np.empty(len(start), np.uint64)
+    for s in _slices(size, PLACES):
+        flat = _expand(start[s], size[s])
+        letters = (code[flat].astype(np.uint64) + np.uint64(1)) * power[flat - np.repeat(start[s], size[s])]
+        key[s] = np.add.reduceat(letters, np.cumsum(size[s]) - size[s])
+    word = _mix(key)
     text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
     o = np.lexsort((word, text))
     text, word = text[o], word[o]
@@ -284,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 pa.array([x[2] for x in found], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "evidence_ids", "evidence_cosines"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
+    scored = docs.mapInArrow(giving_back(run), "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines")
 
@@ -296,7 +307,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **
                 pick(labels, doc_id=how.get("id_col", "doc_id"), toxic=how.get("label_col", "toxic")))
 
     @F.pandas_udf("double")
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series([x[0] for x in model.scores(list(text))], dtype="float64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for text in batches:
+                yield pd.Series([x[0] for x in model.scores(list(text))], dtype="float64")
+        finally:
+            give_back()
 
     return docs.where(of(F.col(text_col)) < 0.5)

@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +174,48 @@ def test_bpe_long_rows_equal_leftmost_merges(tiktoken_encoding):
         assert pairs.encode(text) == tiktoken_encoding.encode_ordinary(text)
 
 
+def _most_memory(run):
+    """Bytes that are held at once while it runs."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_encoding_takes_few_times_the_text():
+    pairs, rng = bpe.load(*_vocabulary()), random.Random(21)
+    text = " ".join(rng.choice(["some", "words", "of", "varied", "lengths", "unseen%d" % rng.randrange(99)]) for _ in range(400_000))
+
+    def run():
+        ids, offsets = bpe.Encoded(pairs, [text]).flat()
+        assert pairs.decode_all(ids, offsets) == [text.encode()]
+
+    bpe.Encoded(pairs, ["warm up"]).flat()
+    assert _most_memory(run) < 36 * len(text)
+
+
+def test_texts_are_encoded_some_megabytes_at_a_time():
+    texts = ["x" * 1_000_000] * 12 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(bpe.together(iter([batch, batch.slice(0, 0)]), 1))
+    assert max(sum(len(t or "") for t in some) for _, some in parts) <= 6_000_000
+    assert [t for _, some in parts for t in some] == texts
+    assert [i for held, _ in parts for b in held for i in b.column(0).to_pylist()] == list(range(len(texts)))
+
+
+def test_word_counts_take_few_times_the_text():
+    rng = random.Random(22)
+    texts = [" ".join("w%d" % rng.randrange(500) for _ in range(800)) for _ in range(500)] + [None, "", "a b A"]
+    toxicity.word_counts(["warm up"])
+    assert _most_memory(lambda: toxicity.word_counts(texts)) < 26 * sum(len(t or "") for t in texts)
+    text, word, n = toxicity.word_counts(texts)
+    for k in (0, 250, 499, 500, 501, 502):
+        _, one, count = toxicity.word_counts([texts[k]])
+        assert one.tolist() == word[text == k].tolist() and count.tolist() == n[text == k].tolist()
+
+
 def test_token_counts_after_edits(spark, tiktoken_encoding):
     rng = random.Random(6)
     docs, edits, want = corpus(4), [], {}
