@@ -216,6 +216,17 @@ def test_word_counts_take_few_times_the_text():
         assert one.tolist() == word[text == k].tolist() and count.tolist() == n[text == k].tolist()
 
 
+def test_a_chunk_of_seeds_takes_few_times_its_seeds():
+    rng = np.random.default_rng(23)
+    common = [" ".join(map(str, rng.integers(1000, size=300))) for _ in range(200)]
+    texts = [common[k % 200] + " " + " ".join(map(str, rng.integers(10**6, size=150))) for k in range(2500)]
+    n = sum(len(passages.seeds([t.encode()])[0]) for t in texts)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 500)), pa.array(np.zeros(500, np.int32)), pa.array(texts[k:k + 500])],
+                                          names=["doc_id", "v", "text"]) for k in range(0, 2500, 500)]
+    assert n < passages.CHUNK_SEEDS
+    assert _most_memory(lambda: [b.num_rows for b in passages._scan(100, 40, 8)(iter(batches))]) < 130 * n
+
+
 def test_token_counts_after_edits(spark, tiktoken_encoding):
     rng = random.Random(6)
     docs, edits, want = corpus(4), [], {}
