@@ -5,12 +5,13 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from contestry import queries, tables
+from contestry import oracles, queries, tables
 from contestry.functions import probability
 from contestry.operators import audit, calibrate, metrics, ratings, reshape, skills, temporal
 from contestry.plans import walkforward
@@ -214,6 +215,30 @@ def test_draws_of_large_slices_are_those_of_sql(rows, block):
     assert (ones == rows).all()
 
 
+@pytest.fixture(scope="module")
+def large(spark):
+    return spark.range(60_000).selectExpr("id match_id", "if(id % 3 = 0, 'b', 'a') slice", "'x' value", "sin(id) + 0.02 d")
+
+
+def test_intervals_of_large_slices_equal_sql(large):
+    """Slices of more rows than are packed together, against DuckDB by the queries' own SQL of the draws."""
+    con = duckdb.connect()
+    con.register("members", large.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(f"WITH {oracles._drawn('slice, value', 'd', 'members')} SELECT slice, mean, ci_low, ci_high, p_better FROM ends").fetchall()}
+    for how in ({}, {"block_rows": 5000}):
+        got = {r.slice: (r.mean, r.ci_low, r.ci_high, r.p_better) for r in audit.resampled(large, ["slice", "value"], "d", ["match_id"], **how).collect()}
+        assert set(got) == set(want) == {"a", "b"}
+        assert all(got[s] == pytest.approx(want[s], abs=1e-9) for s in want)
+
+
+def test_slices_can_be_drawn_by_block(large):
+    """Without the hash the same distribution, in one block or several."""
+    exact = {r.slice: r for r in audit.resampled(large, ["slice", "value"], "d", ["match_id"]).collect()}
+    for r in audit.resampled(large, ["slice", "value"], "d", ["match_id"], block_rows=3000, hashed=False).collect():
+        assert r.n == exact[r.slice].n and r["mean"] == pytest.approx(exact[r.slice]["mean"], abs=2e-3)
+        assert r.ci_high - r.ci_low == pytest.approx(exact[r.slice].ci_high - exact[r.slice].ci_low, rel=0.15)
+
+
 def test_prices_are_joined_once(spark, sf):
     """What the resampling and the rank correlation read again and again is a written table."""
     for name in ("bootstrap_ci", "rank_correlation"):
